@@ -31,8 +31,9 @@ def with_inputs(sql: str, *using: str) -> str:
         return sql
     inputs = ",\n".join(f"{name} AS ({DERIVED[name]})" for name in using)
     body = sql.strip()
-    if body.startswith("WITH "):
-        return f"WITH {inputs},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"WITH RECURSIVE {inputs},\n{body[len(start):]}"
     return f"WITH {inputs}\n{body}"
 
 

@@ -515,13 +515,23 @@ DERIVED: dict[str, str] = {
 }
 
 
-def load(spark: SparkSession, sf_dir: str) -> None:
-    """Register the driver tables as views; times are UTC throughout."""
+def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    """Register driver tables as views; times are UTC throughout."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    for name in TABLES:
+    for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
 
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Run SQL over the driver tables it names."""
+    words = set(re.findall(r"\w+", sql))
+    load(spark, sf_dir, *[t for t in TABLES if t in words])
+    return spark.sql(sql)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return run_sql(spark, sf_dir, f"SELECT * FROM {name}")
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    load(spark, sf_dir)
-    return spark.sql(DERIVED[name])
+    return run_sql(spark, sf_dir, DERIVED[name])

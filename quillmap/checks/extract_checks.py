@@ -16,6 +16,8 @@ from quillmap.operators.extract import routes as rt
 from quillmap.operators.extract import schemas as sch
 from quillmap.operators.extract.base import FileColumns
 from quillmap.operators.extract.registry import BUILT_IN, apply_gates, extract_ungated
+from quillmap.plans.index import repo_settings
+from quillmap.sources.files import source_files
 
 _CUST = {"k": d.as_text("c_custkey"), "n": d.as_text("c_nationkey")}
 _MODULE_PATH = "'src/mods/m' || CAST(c_custkey AS STRING) || '.ts'"
@@ -270,11 +272,10 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     ]),
 )
 def component_props(spark: SparkSession, sf: str) -> DataFrame:
-    d.load(spark, sf)
     parameter = F.concat(
         F.lit(" { "), F.lower("c_mktsegment"), F.lit(": x, b = 1, 5, , d, ...rest }: Props")
     )
-    return spark.table("customer").select(
+    return d.table(spark, sf, "customer").select(
         "c_custkey", F.posexplode(comp.prop_names(parameter)).alias("pos", "prop")
     )
 
@@ -410,14 +411,11 @@ CODE_INPUTS = [
 
 def code_files(spark: SparkSession, sf: str) -> DataFrame:
     """All made-up source files of all organisations, with a manifest for each."""
-    d.load(spark, sf)
     parts = [*CODE_INPUTS, "org_manifests"]
-    return spark.sql(union_all([f"SELECT repo, path, content FROM ({d.DERIVED[p]})" for p in parts]))
+    return d.run_sql(spark, sf, union_all([f"SELECT repo, path, content FROM ({d.DERIVED[p]})" for p in parts]))
 
 
 def org_settings(spark: SparkSession, sf: str) -> DataFrame:
-    from quillmap.plans.index import repo_settings
-
     return repo_settings(
         d.derive(spark, sf, "org_manifests"), d.derive(spark, sf, "org_configs")
     )
@@ -454,7 +452,7 @@ GATED_COMPONENTS = gated(COMPONENT_ROWS, "react", "file, name, props, client, ho
 
 
 def gated_index(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_gates(extract_ungated(code_files(spark, sf)), org_settings(spark, sf))
+    return apply_gates(extract_ungated(source_files(code_files(spark, sf))), org_settings(spark, sf))
 
 
 @query("gated_routes", GATED_ROUTES)

@@ -30,9 +30,9 @@ DIR_SQL = (
     "s_name || chr(10) AS content FROM supplier",
 )
 def read_files(spark: SparkSession, sf: str) -> DataFrame:
-    d.load(spark, sf)
     root = fresh_folder(spark, "tree")
-    spark.sql(
+    d.run_sql(
+        spark, sf,
         "SELECT 'org' || CAST(s_nationkey AS STRING) AS org, s_suppkey, s_name AS value FROM supplier"
     ).repartition("org", "s_suppkey").write.partitionBy("org", "s_suppkey").text(root)
     files = read_repo_files(spark, root, "*.txt")
@@ -101,8 +101,7 @@ _TASK_DOC_SQL = d.case_sql(
        FROM customer WHERE c_custkey % 4 = 0""",
 )
 def read_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    d.load(spark, sf)
-    tasks = docs.read_tasks(spark.sql(f"SELECT c_name AS repo, {_TASK_DOC_SQL} AS text FROM customer"))
+    tasks = docs.read_tasks(d.run_sql(spark, sf, f"SELECT c_name AS repo, {_TASK_DOC_SQL} AS text FROM customer"))
     return tasks.select(
         "repo", "id", "title", F.array_join("suited", "|").alias("suited"), "status",
         "claimed_by", F.array_join("deps", "|").alias("deps"),
@@ -149,18 +148,16 @@ def line_counts(spark: SparkSession, sf: str) -> DataFrame:
     "FROM conversations",
 )
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    d.load(spark, sf)
     astral = F.when(F.col("turn") % 2 == 1, F.lit("\N{GRINNING FACE}")).otherwise("")
-    return spark.table("conversations").select(
+    return d.table(spark, sf, "conversations").select(
         "conv_id", "turn", t.estimate_tokens(F.concat("text", astral)).alias("tokens")
     )
 
 
 @query("comments_stripped", "SELECT page_id, html || chr(10) AS text FROM pages")
 def comments_stripped(spark: SparkSession, sf: str) -> DataFrame:
-    d.load(spark, sf)
     text = F.concat(F.lit("/* a\n // b */"), F.col("html"), F.lit("/**/\n// tail /* x"))
-    return spark.table("pages").select("page_id", t.strip_comments(text).alias("text"))
+    return d.table(spark, sf, "pages").select("page_id", t.strip_comments(text).alias("text"))
 
 
 @query(
@@ -223,8 +220,7 @@ def dynamic_segments(spark: SparkSession, sf: str) -> DataFrame:
         FROM conversations""",
 )
 def decision_titles(spark: SparkSession, sf: str) -> DataFrame:
-    d.load(spark, sf)
-    return spark.table("conversations").select(
+    return d.table(spark, sf, "conversations").select(
         "conv_id", "turn", t.decision_title(F.col("text")).alias("title")
     )
 
@@ -244,12 +240,11 @@ def client_flags(spark: SparkSession, sf: str) -> DataFrame:
     "cleaned_answers", f"SELECT conv_id, turn, trim(text, {TRIM_SET}) AS answer FROM conversations"
 )
 def cleaned_answers(spark: SparkSession, sf: str) -> DataFrame:
-    d.load(spark, sf)
     opening = F.when(F.col("role") == "user", "```JSON\n").when(
         F.col("role") == "system", "``` "
     ).otherwise("")
     raw = F.concat(opening, F.col("text"), F.when(opening != "", "\n``` \n").otherwise(" \n"))
-    return spark.table("conversations").select(
+    return d.table(spark, sf, "conversations").select(
         "conv_id", "turn", t.clean_answer(raw).alias("answer")
     )
 
@@ -263,7 +258,8 @@ _KEPT = [
 
 def _supplier_globs(spark: SparkSession, sf: str) -> DataFrame:
     files = d.derive(spark, sf, "ignore_files")
-    configs = spark.sql(
+    configs = d.run_sql(
+        spark, sf,
         "SELECT s_name AS repo, array('user/**', '*.user.ts') AS ignore FROM supplier"
     )
     return ignore.ignore_globs(files, configs)
