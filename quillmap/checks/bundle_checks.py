@@ -306,7 +306,7 @@ _CODE_SETUP = f"""
         FROM ({ec.GATED_ROUTES}) GROUP BY repo),
     table_text AS (SELECT repo, '### Data model' || chr(10) || string_agg({_TABLE_LINE}, chr(10)
         ORDER BY CASE engine WHEN 'postgres' THEN 1 WHEN 'prisma' THEN 2 ELSE 3 END,
-                 name COLLATE en_us, source COLLATE en_us) AS body
+                 name COLLATE en_us, source COLLATE en_us, pos) AS body
         FROM ({ec.GATED_TABLES}) GROUP BY repo),
     component_text AS (SELECT repo, '### Components' || chr(10) || string_agg({_COMPONENT_LINE}, chr(10)
         ORDER BY name COLLATE en_us, file COLLATE en_us) AS body,

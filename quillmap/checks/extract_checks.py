@@ -412,7 +412,13 @@ CODE_INPUTS = [
 def code_files(spark: SparkSession, sf: str) -> DataFrame:
     """All made-up source files of all organisations, with a manifest for each."""
     parts = [*CODE_INPUTS, "org_manifests"]
-    return d.run_sql(spark, sf, union_all([f"SELECT repo, path, content FROM ({d.DERIVED[p]})" for p in parts]))
+    files = d.run_sql(
+        spark, sf, union_all([f"SELECT repo, path, content FROM ({d.DERIVED[p]})" for p in parts])
+    )
+    # The sample tables are one small file each. Spread them only where the
+    # input has fewer splits than there are cores to use.
+    cores = spark.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < 4 * cores else files
 
 
 def org_settings(spark: SparkSession, sf: str) -> DataFrame:
@@ -441,7 +447,7 @@ GATED_ROUTES = union_all([
     gated(WEB_ROUTES, "nextjs", _ROUTE_COLUMNS),
     gated(union_all(CALL_ROUTES), "express", _ROUTE_COLUMNS),
 ])
-_TABLE_COLUMNS = "source, engine, name, columns"
+_TABLE_COLUMNS = "source, engine, pos, name, columns"
 GATED_TABLES = union_all([
     gated(DDL_ROWS, "sql", _TABLE_COLUMNS),
     gated(MODEL_ROWS, "prisma", _TABLE_COLUMNS),
@@ -462,7 +468,7 @@ def gated_routes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gated_tables", GATED_TABLES)
 def gated_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return _show_tables(tables.db_tables(gated_index(spark, sf))).drop("pos")
+    return _show_tables(tables.db_tables(gated_index(spark, sf)))
 
 
 @query("gated_components", GATED_COMPONENTS)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmap.functions.arrays import let
 from quillmap.functions.text import js
 
 DEPTH = 8
@@ -36,10 +37,10 @@ def spans(text: Column, opener: str, groups: int, opening: str, closing: str) ->
     pattern = F.lit(rf"{js(opener)}(?:(?=({body})[{closing}])|(?=([\s\S]*)))")
     quick = F.regexp_extract_all(text, pattern, F.lit(groups + 1))
     rest = F.regexp_extract_all(text, pattern, F.lit(groups + 2))
-    slow = F.zip_with(
+    # ``rest`` is filled only where the quick form found no partner.
+    return F.zip_with(
         quick, rest, lambda q, r: F.when(r == "", q).otherwise(_walk(r, opening, closing))
     )
-    return F.when(F.forall(rest, lambda r: r == ""), quick).otherwise(slow)
 
 
 def _walk(rest: Column, opening: str, closing: str) -> Column:
@@ -71,11 +72,14 @@ def split_top_level(body: Column, opening: str, closing: str) -> Column:
     """
     group = f"[{opening}]{_inside(opening, closing, DEPTH)}[{closing}]"
     masked = F.regexp_replace(F.regexp_replace(body, group, _GROUP_MARK), group, _GROUP_MARK)
-    unpaired = F.rlike(masked, F.lit(f"[{opening}{closing}]"))
-    text = F.when(unpaired, _mark_commas(body, opening, closing)).otherwise(
-        F.replace(masked, F.lit(","), F.lit(_SPLIT_MARK))
-    )
-    return F.split(text, _SPLIT_MARK)
+
+    def marked(quick: Column) -> Column:
+        unpaired = F.rlike(quick, F.lit(f"[{opening}{closing}]"))
+        return F.when(unpaired, _mark_commas(body, opening, closing)).otherwise(
+            F.replace(quick, F.lit(","), F.lit(_SPLIT_MARK))
+        )
+
+    return F.split(let(masked, marked), _SPLIT_MARK)
 
 
 def _mark_commas(body: Column, opening: str, closing: str) -> Column:

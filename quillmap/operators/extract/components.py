@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
-from quillmap.functions.arrays import find_all, find_first, find_matches, first_per_name, matches
+from quillmap.functions.arrays import find_all, find_first, find_matches, first_per_name, let, matches
 from quillmap.functions.text import is_client, trim
 from quillmap.operators.extract.base import FileColumns, empty_list, has_extension
 
@@ -45,17 +45,20 @@ def component_names(clean: Column) -> Column:
 
 
 def components(raw: Column, clean: Column) -> Column:
-    client = is_client(raw)
-    hooks = hook_names(clean)
-    found = F.transform(
-        component_names(clean),
-        lambda c: F.struct(
-            c["name"].alias("name"),
-            c["props"].alias("props"),
-            client.alias("client"),
-            F.when(F.size(hooks) > 0, hooks).alias("hooks"),
-        ),
-    )
+    whole_file = F.struct(is_client(raw).alias("client"), hook_names(clean).alias("hooks"))
+
+    def described(file: Column) -> Column:
+        return F.transform(
+            component_names(clean),
+            lambda c: F.struct(
+                c["name"].alias("name"),
+                c["props"].alias("props"),
+                file["client"].alias("client"),
+                F.when(F.size(file["hooks"]) > 0, file["hooks"]).alias("hooks"),
+            ),
+        )
+
+    found = let(whole_file, described)
     return F.when(has_markup(clean), found).otherwise(empty_list("components"))
 
 

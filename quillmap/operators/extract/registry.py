@@ -8,7 +8,7 @@ no table that grows with the number of repositories has to be broadcast.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from quillmap.operators.extract.schemas import (
     ModelExtractor,
     TypedTableExtractor,
 )
+from quillmap.operators.ignore import without_ignored
 from quillmap.plans.joins import join_by_repo
 
 BUILT_IN: tuple[Extractor, ...] = (
@@ -61,18 +62,28 @@ def _slot(extractor: Extractor, kind: str) -> str:
     return f"{kind}@{extractor.name}"
 
 
-def extract_ungated(
-    files: DataFrame, extractors: Sequence[Extractor] = BUILT_IN
-) -> DataFrame:
-    """One row per file with one list column per extractor and kind."""
-    described = describe_files(files)
+@lru_cache(maxsize=16)
+def _slot_columns(application: str, extractors: tuple[Extractor, ...]) -> tuple[Column, ...]:
+    """The expressions of all extractors, built once per Spark application."""
     file = FileColumns(*[F.col(c) for c in ("path", "ext", "raw", "clean")])
     slots = []
     for ex in extractors:
         for kind, value in ex.lists(file).items():
             guarded = F.when(ex.applies(file), value).otherwise(empty_list(kind))
             slots.append(guarded.alias(_slot(ex, kind)))
-    return described.select("repo", "path", "lang", "hash", "loc", *slots)
+    return tuple(slots)
+
+
+def _application(df: DataFrame) -> str:
+    return df.sparkSession.sparkContext.applicationId
+
+
+def extract_ungated(
+    files: DataFrame, extractors: Sequence[Extractor] = BUILT_IN
+) -> DataFrame:
+    """One row per file with one list column per extractor and kind."""
+    slots = _slot_columns(_application(files), tuple(extractors))
+    return describe_files(files).select("repo", "path", "lang", "hash", "loc", *slots)
 
 
 def extractor_enabled(toggles: Column, name: str) -> Column:
@@ -96,16 +107,31 @@ def apply_gates(
 ) -> DataFrame:
     """Merge the lists of the extractors that a repository's stack and toggles allow.
 
-    ``repos`` has one row per repository: ``repo, stack, extractors``.
+    ``repos`` has one row per repository: ``repo, stack, extractors`` and, where
+    there are ignore rules, their pattern ``ignored``. All of them take part in
+    the same join.
     """
-    gates = repos.select("repo", "stack", "extractors")
-    joined = join_by_repo(extracted, gates, spread="path")
+    if "ignored" in repos.columns:
+        gates = repos.select("repo", "stack", "extractors", "ignored")
+        joined = without_ignored(join_by_repo(extracted, gates, spread="path"))
+    else:
+        gates = repos.select("repo", "stack", "extractors")
+        joined = join_by_repo(extracted, gates, spread="path")
+    present = tuple(c for c in extracted.columns if "@" in c)
+    merged = _merged_columns(_application(extracted), tuple(extractors), present)
+    return joined.select("repo", "path", "lang", "hash", "loc", *merged)
+
+
+@lru_cache(maxsize=16)
+def _merged_columns(
+    application: str, extractors: tuple[Extractor, ...], present: tuple[str, ...]
+) -> tuple[Column, ...]:
     merged = []
     for kind in LIST_TYPES:
         parts = [
             F.when(_allowed(ex), F.col(f"`{_slot(ex, kind)}`")).otherwise(empty_list(kind))
             for ex in extractors
-            if _slot(ex, kind) in extracted.columns
+            if _slot(ex, kind) in present
         ]
         merged.append(reduce(lambda a, b: F.concat(a, b), parts, empty_list(kind)).alias(kind))
-    return joined.select("repo", "path", "lang", "hash", "loc", *merged)
+    return tuple(merged)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
-from quillmap.functions.arrays import find_all, find_matches, matches
+from quillmap.functions.arrays import find_all, find_matches, let, matches
 from quillmap.operators.extract.base import FileColumns, empty_list, has_extension
 
 
@@ -67,8 +67,10 @@ def file_routes(path: Column, clean: Column) -> Column:
 
 
 def call_routes(clean: Column) -> Column:
-    mounts = find_all(clean, fx.MOUNT_CALL, 2)
+    return let(find_all(clean, fx.MOUNT_CALL, 2), lambda mounts: _mounted_routes(clean, mounts))
 
+
+def _mounted_routes(clean: Column, mounts: Column) -> Column:
     def build(receiver: Column, verb: Column, url: Column) -> Column:
         mounted = F.regexp_replace(F.concat(F.get(mounts, F.lit(0)), url), "/{2,}", "/")
         takes_mount = (F.size(mounts) == 1) & F.contains(F.lower(receiver), F.lit("router"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
-from quillmap.functions.arrays import find_all, find_first, find_matches, matches
+from quillmap.functions.arrays import find_all, find_first, find_matches, let, matches
 from quillmap.functions.brackets import spans, split_top_level
 from quillmap.functions.text import trim
 from quillmap.operators.extract.base import FileColumns, empty_list, has_extension
@@ -78,10 +78,12 @@ def collection_fields(body: Column) -> Column:
 
 
 def collections(clean: Column) -> Column:
-    name = collection_name(clean)
-    found = F.transform(
-        spans(clean, fx.NEW_SCHEMA, 0, "{", "}"),
-        lambda body: _table("mongo", name, collection_fields(body)),
+    found = let(
+        collection_name(clean),
+        lambda name: F.transform(
+            spans(clean, fx.NEW_SCHEMA, 0, "{", "}"),
+            lambda body: _table("mongo", name, collection_fields(body)),
+        ),
     )
     return F.when(F.contains(clean, F.lit("Schema")), found).otherwise(empty_list("tables"))
 

@@ -38,7 +38,10 @@ def rejected_globs(globs: DataFrame) -> DataFrame:
 
 def drop_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Files no rule matches. Narrow rows only: keep file text out of this join."""
-    joined = join_by_repo(files, rules, spread="path")
+    return without_ignored(join_by_repo(files, rules, spread="path")).drop("ignored")
+
+
+def without_ignored(joined: DataFrame) -> DataFrame:
     # regexp_instr keeps the last compiled pattern; rlike would compile per row.
     hit = F.coalesce(F.regexp_instr(F.col("path"), F.col("ignored")) > 0, F.lit(False))
-    return joined.filter(~hit).drop("ignored")
+    return joined.filter(~hit)

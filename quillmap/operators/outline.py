@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
-from quillmap.functions.arrays import matches
+from quillmap.functions.arrays import let, matches
 from quillmap.functions.text import is_blank, js, trim, utf16_left
 
 
@@ -17,7 +17,6 @@ def plan_outline(text: Column) -> Column:
     its neighbour; pairing the list with itself shifted by one keeps this linear.
     """
     filled = F.filter(F.split(text, "\n"), lambda x: ~is_blank(x))
-    following = F.slice(filled, 2, F.greatest(F.size(filled), F.lit(1)))
 
     def entry(line: Column, after: Column) -> Column:
         indented = F.concat(F.lit("\n  "), utf16_left(trim(after), fx.OUTLINE_CHARS))
@@ -26,7 +25,11 @@ def plan_outline(text: Column) -> Column:
             matches(line, fx.HEADING), F.concat(line, F.when(plain, indented).otherwise(""))
         )
 
-    return F.array_join(F.zip_with(filled, following, entry), "\n")
+    def paired(lines: Column) -> Column:
+        following = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+        return F.array_join(F.zip_with(lines, following, entry), "\n")
+
+    return let(filled, paired)
 
 
 def recent_blocks(text: Column, n: int | Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
+from quillmap.functions.arrays import let
 from quillmap.sources.documents import SNAPSHOT_SCHEMA, parse_json, strict_json
 
 MALFORMED = "index is not valid JSON"
@@ -78,7 +79,10 @@ def _file_problems(file: Column, i: Column) -> Column:
 
 def problems(text: Column) -> Column:
     """Problems of one document in order; an empty array means valid."""
-    doc = strict_json(text)
+    return let(strict_json(text), _document_problems)
+
+
+def _document_problems(doc: Column) -> Column:
     top = [_version_problem(doc)] + [
         F.when(~_is(_field(doc, name), kind), F.lit(f"{name} must be {what}"))
         for name, kind, what in _TOP_LEVEL

@@ -34,7 +34,7 @@ def extract_corpus(
     """
     extracted = extract_ungated(source_files(files), extractors)
     rules = ignore.ignore_rules(ignore.ignore_globs(files, settings))
-    return apply_gates(ignore.drop_ignored(extracted, rules), settings, extractors)
+    return apply_gates(extracted, settings.join(rules, "repo", "left"), extractors)
 
 
 def build_index(

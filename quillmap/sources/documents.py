@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
+from quillmap.functions.arrays import let
 from quillmap.functions.text import is_blank, trim
 
 SNAPSHOT_SCHEMA = (
@@ -37,9 +38,12 @@ _FRONT = r"\A---[ \t]*\r?\n([\s\S]*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)"
 
 def strict_json(text: Column) -> Column:
     """VARIANT of a JSON text that holds exactly one value, else NULL."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    second = F.try_variant_get(wrapped, "$[1]", "variant")
-    return F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    def only(wrapped: Column) -> Column:
+        second = F.try_variant_get(wrapped, "$[1]", "variant")
+        return F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
+
+    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), only)
 
 
 def parse_json(text: Column, schema: str) -> Column:

@@ -104,7 +104,7 @@ def store_batch(
         settings.select("repo", F.col("ignore").alias("globs")).filter(F.size("globs") > 0)
     )
     extracted = extract_ungated(source_files(latest.filter(~F.col("deleted"))), extractors)
-    current = apply_gates(ignore.drop_ignored(extracted, rules), settings, extractors)
+    current = apply_gates(extracted, settings.join(rules, "repo", "left"), extractors)
     previous = current_index(spark, path, before=batch)
     carried = (
         snapshot.first_snapshot(current)
