@@ -52,39 +52,45 @@ def added_tasks(events: DataFrame, existing: DataFrame | None = None) -> DataFra
     )
 
 
-def _with_add(events: DataFrame, tasks: DataFrame) -> DataFrame:
-    changes = events.filter(F.col("action").isin("claim", "done")).select(
+def _changes(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("action").isin("claim", "done")).select(
         "repo", "seq", "action", F.col("task_id").alias("id"), "by"
     )
-    known = tasks.select("repo", "id", "add_seq")
-    return join_by_key(changes, known, ["repo", "id"], spread="seq")
 
 
 def rejected_events(events: DataFrame, tasks: DataFrame) -> DataFrame:
     """Changes of a task id that was not there yet at that point."""
+    known = tasks.select("repo", "id", "add_seq")
     late = F.col("add_seq").isNull() | (F.col("seq") <= F.col("add_seq"))
-    return _with_add(events, tasks).filter(late).drop("add_seq")
+    joined = join_by_key(_changes(events), known, ["repo", "id"], spread="seq")
+    return joined.filter(late).drop("add_seq")
 
 
 def fold_board(events: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Tasks after all valid changes: the last change decides the status, the last claim the claimer."""
-    valid = _with_add(events, tasks).filter(F.col("seq") > F.col("add_seq"))
-    claims = F.when(F.col("action") == "claim", F.col("seq"))
+    """Tasks after all valid changes: the last change decides the status, the last claim the claimer.
+
+    Changes are folded per id before they meet the tasks. If the last one came
+    before its task was added, then so did all others, so it is enough to
+    compare that one.
+    """
+    claim_seq = F.when(F.col("action") == "claim", F.col("seq"))
     claimer = F.coalesce(F.nullif(F.col("by"), F.lit("")), F.lit(fx.DEFAULT_AGENT))
-    folded = valid.groupBy("repo", "id").agg(
+    folded = _changes(events).groupBy("repo", "id").agg(
+        F.max("seq").alias("last_seq"),
         F.max_by("action", "seq").alias("last_action"),
-        F.max_by(claimer, claims).alias("last_claimer"),
-    )
-    status = (
-        F.when(F.col("last_action") == "claim", "claimed")
-        .when(F.col("last_action") == "done", "done")
-        .otherwise(F.col("status"))
+        F.max(claim_seq).alias("claim_seq"),
+        F.max_by(claimer, claim_seq).alias("claimer"),
     )
+
+    def counts(seq: str) -> Column:
+        return F.col(seq).isNotNull() & (F.col("add_seq").isNull() | (F.col(seq) > F.col("add_seq")))
+
+    last = F.when(F.col("last_action") == "claim", "claimed").otherwise(F.col("last_action"))
     return (
         tasks.join(folded, ["repo", "id"], "left")
-        .withColumn("status", status)
-        .withColumn("claimed_by", F.coalesce("last_claimer", "claimed_by"))
-        .drop("last_action", "last_claimer", "add_seq")
+        .withColumn("status", F.when(counts("last_seq"), last).otherwise(F.col("status")))
+        .withColumn("claimed_by", F.when(counts("claim_seq"), F.col("claimer")).otherwise(F.col("claimed_by")))
+        .drop("last_seq", "last_action", "claim_seq", "claimer", "add_seq")
     )
 
 

@@ -13,6 +13,7 @@ from quillmap.operators.board import tasks_text
 from quillmap.operators.outline import plan_outline, recent_blocks
 from quillmap.operators.snapshot import repo_stats
 from quillmap.plans.joins import join_by_key
+from quillmap.plans.storage import materialize
 
 DEFAULT_HEADER = "# Project Context\n"
 HINT_INDEXED = "_No state written yet._"
@@ -134,7 +135,9 @@ def bundles(
     measured = b.measure(_with_budget(texts, settings, budget), F.col("budget"))
     lines = index_lines(index)
     listed = _with_budget(listing_costs(lines), settings, budget)
-    chosen = b.choose_forms(measured.unionByName(listed)).select("repo", F.inline("kept"))
+    kept = b.choose_forms(measured.unionByName(listed)).select("repo", F.inline("kept"))
+    # A few rows per repository, needed twice below.
+    chosen = materialize(kept, "chosen-sections")
 
     wanted = chosen.filter(F.col("text").isNull()).select(
         "repo", F.col("name").alias("section"), "form", "priority"
