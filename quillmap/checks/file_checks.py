@@ -26,21 +26,21 @@ DIR_SQL = (
 # --- sources -----------------------------------------------------------------
 @query(
     "read_repo_files",
-    "SELECT 'org' || CAST(s_nationkey AS STRING) AS repo, 's' || CAST(s_suppkey AS STRING) AS dir, "
-    "s_name || chr(10) AS content FROM supplier",
+    "SELECT 'org' || CAST(s_nationkey AS STRING) AS repo, s_suppkey, s_name || chr(10) AS content "
+    "FROM supplier",
 )
 def read_files(spark: SparkSession, sf: str) -> DataFrame:
     root = fresh_folder(spark, "tree")
     d.run_sql(
         spark, sf,
-        "SELECT 'org' || CAST(s_nationkey AS STRING) AS org, s_suppkey, s_name AS value FROM supplier"
+        "SELECT 'org' || CAST(s_nationkey AS STRING) AS org, s_suppkey, s_name AS value FROM supplier",
     ).repartition("org", "s_suppkey").write.partitionBy("org", "s_suppkey").text(root)
-    files = read_repo_files(spark, root, "*.txt")
-    return files.select(
-        F.regexp_replace("repo", "^org=", "").alias("repo"),
-        F.concat(F.lit("s"), F.regexp_extract("path", r"s_suppkey=(\d+)", 1)).alias("dir"),
-        "content",
+    orgs = d.run_sql(
+        spark, sf, "SELECT DISTINCT 'org' || CAST(s_nationkey AS STRING) AS repo FROM supplier"
     )
+    files = read_repo_files(orgs.withColumn("root", F.concat(F.lit(f"{root}/org="), F.col("repo"))))
+    key = F.regexp_extract("path", r"^s_suppkey=(\d+)/part-[^/]*\.txt\z", 1)
+    return files.filter(key != "").select("repo", key.cast("bigint").alias("s_suppkey"), "content")
 
 
 @query(

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
@@ -15,32 +19,83 @@ _DROPPED = (
 )
 
 
-def read_repo_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Files below ``root/<repo>/`` as ``repo, path, content, mtime``.
+_LISTED = "repo string, path string, uri string, mtime timestamp"
+_BATCH_BYTES = 32 * 1024 * 1024
+
+
+def list_repo_files(repos: DataFrame) -> DataFrame:
+    """``repo, root`` to one row per file: ``repo, path, uri, mtime``.
 
-    Unreadable files are skipped; bytes that are not UTF-8 become U+FFFD.
+    Spark's own file sources leave out empty files and all names that start
+    with a dot or an underscore, so ignore files and files such as ``_app.tsx``
+    would be missing. Here tasks walk the trees themselves, one directory at a
+    time, on any file system that Arrow can open.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    below = F.regexp_replace(
-        F.col("path"), r"^[a-z0-9]+:/*", "/"
-    )
-    prefix = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    rel = F.substring_index(below, prefix, -1)
-    return reader.load(root).select(
-        F.substring_index(rel, "/", 1).alias("repo"),
-        forward_slashes(F.regexp_replace(rel, "^[^/]*/", "")).alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        F.col("modificationTime").alias("mtime"),
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, top = FileSystem.from_uri(row["root"])
+                top = top.rstrip("/")
+                pending = [top]
+                while pending:
+                    entries = fs.get_file_info(FileSelector(pending.pop()))
+                    pending += [e.path for e in entries if e.type == FileType.Directory]
+                    below = [(e.path[len(top) :], e.mtime) for e in entries if e.type == FileType.File]
+                    yield pa.record_batch(
+                        [
+                            pa.array([row["repo"]] * len(below), pa.string()),
+                            pa.array([path[1:] for path, _ in below], pa.string()),
+                            pa.array([row["root"].rstrip("/") + path for path, _ in below], pa.string()),
+                            pa.array([mtime for _, mtime in below], pa.timestamp("us", "UTC")),
+                        ],
+                        ["repo", "path", "uri", "mtime"],
+                    )
+
+    listed = repos.select("repo", "root").mapInArrow(walk, _LISTED)
+    return listed.withColumn("path", forward_slashes(F.col("path")))
+
+
+def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Add ``content`` to listed files; NULL where a file cannot be read.
+
+    Paths are spread over tasks first, so one large repository is read by many.
+    Bytes that are not UTF-8 become U+FFFD.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents: list[str | None] = []
+            size = start = 0
+            for i, uri in enumerate(batch.column("uri").to_pylist(), 1):
+                contents.append(_read_text(uri))
+                size += len(contents[-1] or "")
+                if size >= _BATCH_BYTES or i == batch.num_rows:
+                    done = batch.slice(start, i - start).select(["repo", "path", "mtime"])
+                    yield done.append_column("content", pa.array(contents, pa.string()))
+                    contents, size, start = [], 0, i
+
+    columns = [F.col("repo"), F.col("path")]
+    spread = listed.repartition(partitions, *columns) if partitions else listed.repartition(*columns)
+    return spread.select("repo", "path", "mtime", "uri").mapInArrow(
+        read, "repo string, path string, mtime timestamp, content string"
     )
 
 
+def _read_text(uri: str) -> str | None:
+    fs, path = FileSystem.from_uri(uri)
+    try:
+        with fs.open_input_stream(path) as stream:
+            return stream.read().decode("utf-8", errors="replace")
+    except OSError:
+        return None
+
+
+def read_repo_files(repos: DataFrame) -> DataFrame:
+    """Readable files of all repositories as ``repo, path, content, mtime``."""
+    return read_listed_files(list_repo_files(repos)).filter(F.col("content").isNotNull())
+
+
 def is_source_path(path: Column) -> Column:
     """Known extension, no ignored directory or name, nothing hidden."""
     return F.rlike(path, F.lit(_KEPT_EXTENSION)) & ~F.rlike(path, F.lit(_DROPPED))
