@@ -105,6 +105,7 @@ CALL_ROUTE = (
     r"""\b([A-Za-z_$][\w$]*)\.(get|post|put|patch|delete|head|options|all)"""
     r"""\s*\(\s*(["'`])([^"'`]+)\3"""
 )
+CALL_VERB = r"\.(get|post|put|patch|delete|head|options|all)\s*\("
 MOUNT_CALL = r"""\.use\s*\(\s*(["'`])(\/[^"'`]*)\1\s*,"""
 
 MARKUP_TAG = r"<[A-Za-z]"

@@ -23,7 +23,8 @@ def prop_names(parameter: Column) -> Column:
 
 
 def hook_names(clean: Column) -> Column:
-    return F.array_sort(F.array_distinct(find_all(clean, fx.HOOK_CALL)))
+    found = F.array_sort(F.array_distinct(find_all(clean, fx.HOOK_CALL)))
+    return F.when(F.contains(clean, F.lit("use")), found).otherwise(F.array().cast("array<string>"))
 
 
 def has_markup(clean: Column) -> Column:

@@ -67,7 +67,9 @@ def file_routes(path: Column, clean: Column) -> Column:
 
 
 def call_routes(clean: Column) -> Column:
-    return let(find_all(clean, fx.MOUNT_CALL, 2), lambda mounts: _mounted_routes(clean, mounts))
+    routes = let(find_all(clean, fx.MOUNT_CALL, 2), lambda mounts: _mounted_routes(clean, mounts))
+    # Starting at a dot is much cheaper than trying every word of the text.
+    return F.when(matches(clean, fx.CALL_VERB), routes).otherwise(empty_list("routes"))
 
 
 def _mounted_routes(clean: Column, mounts: Column) -> Column:

@@ -15,6 +15,7 @@ from quillmap import fixed_values as fx
 from quillmap.functions import json_text as j
 from quillmap.functions.text import icu
 from quillmap.operators import tables
+from quillmap.operators.board import board_lines
 from quillmap.operators.snapshot import repo_stats
 
 _KEYS = ["k1", "k2", "k3", "pos"]
@@ -220,6 +221,12 @@ def task_json_rows(tasks: DataFrame) -> DataFrame:
     )
 
 
+def write_board(tasks: DataFrame, json_path: str, board_path: str) -> None:
+    """Store the tasks sorted by id as JSON lines, and the board as text."""
+    write_rows(task_json_rows(tasks), json_path, [icu(F.col("id"))])
+    write_rows(board_lines(tasks), board_path, [F.col("rank"), icu(F.col("id"))])
+
+
 def write_rows(rows: DataFrame, path: str, order: list[Column] | None = None) -> None:
     """Write document rows below ``path/repo=<repo>/``; part files in name order are the document."""
     order = row_order() if order is None else order

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 _SALT = "_salt"
@@ -65,26 +65,42 @@ def first_per_key(
     )
 
 
+def with_ranges(df: DataFrame, order: Column, buckets: int = 64) -> DataFrame:
+    """Add ``_range``: the part of the whole table's ``order`` values a row falls into.
+
+    Cut points are approximate quantiles, so there are at most ``buckets`` of
+    them on the driver, and a key with many rows spreads over many ranges.
+    """
+    valued = df.withColumn("_at", order.cast("double"))
+    marks = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(valued.approxQuantile("_at", marks, 1 / (4 * buckets))))
+    if not cuts:
+        return valued.withColumn("_range", F.lit(0)).drop("_at")
+    reached = F.array(*[F.when(F.col("_at") >= c, F.lit(1)) for c in cuts])
+    return valued.withColumn("_range", F.size(F.array_compact(reached))).drop("_at")
+
+
+def earlier_ranges(keys: Sequence[str]) -> WindowSpec:
+    """All ranges of a key before the current one; a key has few of them."""
+    return Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: str, name: str, buckets: int = 64
 ) -> DataFrame:
     """``row_number`` per key over a numeric, per-key unique column, without one task per key.
 
-    Rows are cut into ranges of ``order`` at quantiles of the whole table;
-    counts per key and range give each range its offset.
+    Rows are numbered within ranges; counts per key and range give each range
+    its offset.
     """
-    marks = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(order, marks, 1 / (4 * buckets))))
-    value = F.col(order).cast("double")
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= value)) if cuts else F.lit(0)
-    ranged = df.withColumn("_range", at)
+    ranged = with_ranges(df, F.col(order), buckets)
     sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    offset = F.coalesce(F.sum("_rows").over(earlier_ranges(keys)), F.lit(0))
+    offsets = sizes.withColumn("_offset", offset).drop("_rows")
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     return (
         ranged.withColumn("_n", F.row_number().over(inside))
-        .join(offsets.drop("_rows"), [*keys, "_range"])
+        .join(offsets, [*keys, "_range"])
         .withColumn(name, (F.col("_n") + F.col("_offset")).cast("bigint"))
         .drop("_range", "_n", "_offset")
     )

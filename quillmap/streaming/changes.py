@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +12,7 @@ from quillmap import fixed_values as fx
 from quillmap.operators import ignore, snapshot
 from quillmap.operators.extract.base import Extractor
 from quillmap.operators.extract.registry import BUILT_IN, apply_gates, extract_ungated
-from quillmap.plans.joins import join_by_key
+from quillmap.plans.joins import earlier_ranges, join_by_key, with_ranges
 from quillmap.sources.files import source_files
 
 KEY = ["repo", "path"]
@@ -26,13 +26,8 @@ def without_noise(changes: DataFrame) -> DataFrame:
     return changes.filter(quiet)
 
 
-def bursts(changes: DataFrame, gap: str = fx.DEBOUNCE) -> DataFrame:
-    """One row per burst of changes of a repository; works on tables and streams.
-
-    On a stream, set a watermark first, and
-    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` so
-    that the changes of a busy repository are merged before the shuffle.
-    """
+def session_bursts(changes: DataFrame, gap: str = fx.DEBOUNCE) -> DataFrame:
+    """One row per burst of changes of a repository, by session windows."""
     return (
         without_noise(changes)
         .groupBy(F.session_window("ts", gap).alias("burst"), "repo")
@@ -41,13 +36,52 @@ def bursts(changes: DataFrame, gap: str = fx.DEBOUNCE) -> DataFrame:
     )
 
 
+def bursts(changes: DataFrame, gap: str = fx.DEBOUNCE, buckets: int = 64) -> DataFrame:
+    """The same bursts for changes at rest.
+
+    A session window sorts all changes of a repository in one task. Here they
+    are cut into time ranges: only the ends of the ranges of a repository, at
+    most one pair per range, have to meet to tell whether a burst goes on.
+    """
+    ranged = with_ranges(without_noise(changes), F.unix_micros(F.col("ts").cast("timestamp")), buckets)
+    keys = ["repo", "_range"]
+    ends = ranged.groupBy(*keys).agg(F.max("ts").alias("_last"))
+    before = ends.select(*keys, F.max("_last").over(earlier_ranges(["repo"])).alias("_before"))
+    inside = Window.partitionBy(*keys).orderBy("ts")
+    previous = F.coalesce(F.lag("ts").over(inside), F.col("_before"))
+    starts = F.when(F.col("ts") <= previous + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
+    marked = ranged.join(before, keys).withColumn("_starts", starts)
+    counted = marked.withColumn(
+        "_inside", F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    totals = counted.groupBy(*keys).agg(F.sum("_starts").alias("_total"))
+    offset = F.coalesce(F.sum("_total").over(earlier_ranges(["repo"])), F.lit(0))
+    offsets = totals.select(*keys, offset.alias("_offset"))
+    return (
+        counted.join(offsets, keys)
+        .groupBy("repo", (F.col("_inside") + F.col("_offset")).alias("_burst"))
+        .agg(
+            F.min("ts").alias("first_change"),
+            F.max("ts").alias("last_change"),
+            F.count("*").alias("changes"),
+        )
+        .drop("_burst")
+    )
+
+
 def stream_bursts(
     changes: DataFrame, path: str, checkpoint: str, gap: str = fx.DEBOUNCE,
     lateness: str = "10 seconds",
 ) -> StreamingQuery:
-    """Write finished bursts of all changes available now to ``path``."""
+    """Write finished bursts of all changes available now to ``path``.
+
+    Changes of a busy repository are merged in each task before the shuffle.
+    """
+    changes.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     return (
-        bursts(changes.withWatermark("ts", lateness), gap)
+        session_bursts(changes.withWatermark("ts", lateness), gap)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 from helpers import apply
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmap.operators import board, journal, outline, purposes
 from quillmap.streaming import changes as ch
+from quillmap.plans.export import write_board
 from quillmap.plans.storage import fresh_folder
 
 EVENT = "repo string, seq bigint, action string, task_id string, title string, suited string, by string"
@@ -33,6 +35,11 @@ def test_board_round_trip(spark):
         "## claimed\n- **t-002** Test — @b\n\n## done\n- **t-001** Build — @a _(suited: ui, e2e)_"
     )
     assert board.tasks_text(tasks).first().text == "### Open tasks\n- t-002 Test [] (claimed by b)\n- t-003 Ship []"
+    folder = fresh_folder(spark, "board")
+    write_board(tasks, folder + "/json", folder + "/board")
+    lines = spark.read.text(folder + "/json/repo=p").collect()
+    assert sorted(json.loads(r.value)["status"] for r in lines) == ["claimed", "done", "open"]
+    assert spark.read.text(folder + "/board/repo=p").count() == len(text.split("\n"))
     existing = tasks.withColumn("id", F.lit("t-999"))
     assert {r.id for r in board.added_tasks(events, existing).collect()} == {"t-1000", "t-1001", "t-1002"}
 
@@ -130,5 +137,6 @@ def test_bursts(spark):
     ms = lambda n: datetime(2024, 1, 1, 0, 0, 0, n * 1000)
     rows = [("r", "a", ms(0)), ("r", "b", ms(200)), ("r", "c", ms(449)), ("r", "d", ms(700)), ("r", ".gitignore", ms(600)),
             ("r", None, ms(500)), ("q", "x", ms(0))]
-    got = ch.bursts(spark.createDataFrame(rows, "repo string, path string, ts timestamp")).collect()
-    assert sorted((r.repo, r.changes) for r in got) == [("q", 1), ("r", 1), ("r", 3)]
+    changes = spark.createDataFrame(rows, "repo string, path string, ts timestamp")
+    for found in (ch.bursts(changes, buckets=3), ch.bursts(changes), ch.session_bursts(changes)):
+        assert sorted((r.repo, r.changes) for r in found.collect()) == [("q", 1), ("r", 1), ("r", 3)]
