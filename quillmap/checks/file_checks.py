@@ -65,7 +65,7 @@ def front_matter(spark: SparkSession, sf: str) -> DataFrame:
         CASE c_custkey % 4 WHEN 0 THEN CAST('100' || CAST(c_nationkey AS STRING) AS BIGINT)
              ELSE 2000 END AS context_budget,
         CASE c_custkey % 4 WHEN 0 THEN 'user/**|*.user.ts' ELSE '' END AS ignored,
-        CASE c_custkey % 4 WHEN 1 THEN 2 ELSE 5 END AS decisions_in_context,
+        CAST(CASE c_custkey % 4 WHEN 1 THEN 2 ELSE 5 END AS BIGINT) AS decisions_in_context,
         CASE c_custkey % 4 WHEN 0 THEN 'agent' || CAST(c_custkey AS STRING) END AS agent_name
     FROM customer""",
 )

@@ -395,7 +395,11 @@ BUNDLE_TASKS = f"""
           FROM ({_BOARD}) WHERE status IN ('open', 'claimed')) WHERE rank <= 10"""
 
 
-@query("first_open_tasks", BUNDLE_TASKS, ("task_events",))
+@query(
+    "first_open_tasks",
+    f"SELECT repo, CAST(rank AS INTEGER) AS rank, id, line FROM ({BUNDLE_TASKS})",
+    ("task_events",),
+)
 def first_open_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return board.bundle_tasks(_board(spark, sf))
 
@@ -435,7 +439,7 @@ def decision_entries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "recent_decisions",
-    """SELECT repo, seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo
+    """SELECT repo, seq, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY repo
            ORDER BY ts DESC, seq DESC) AS rank FROM decisions) WHERE rank <= 5""",
     ("decisions",),
 )

@@ -7,7 +7,19 @@ from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
 
-_SPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in fx.JS_WHITESPACE)
+
+def _class_of(chars: str) -> str:
+    """Inside of a character class, neighbours written as ranges."""
+    points = sorted(map(ord, chars))
+    out = ""
+    while points:
+        end = next(i for i, p in enumerate([*points, -1]) if p != points[0] + i) - 1
+        out += f"\\x{{{points[0]:x}}}" + (f"-\\x{{{points[end]:x}}}" if end else "")
+        points = points[end + 1 :]
+    return out
+
+
+_SPACE_CLASS = _class_of(fx.JS_WHITESPACE)
 _WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
@@ -25,9 +37,7 @@ def js(pattern: str) -> str:
 _BLOCK_COMMENT = r"/\*[\S\s]*?\*/|(/\*[\S\s]*)\z"
 _LINE_COMMENT = r"(^|[^:])//[^\n]*"
 _LINE_BREAK = r"\n\r\x{2028}\x{2029}"
-_BLANK_IN_LINE = "".join(
-    f"\\x{{{ord(c):x}}}" for c in fx.JS_WHITESPACE if c not in "\n\r\u2028\u2029"
-)
+_BLANK_IN_LINE = _class_of("".join(c for c in fx.JS_WHITESPACE if c not in "\n\r\u2028\u2029"))
 _CLIENT_DIRECTIVE = rf"(?:\A|[{_LINE_BREAK}])[{_BLANK_IN_LINE}]*[\"']use client[\"']"
 
 

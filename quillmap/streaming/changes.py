@@ -91,8 +91,14 @@ def stream_bursts(
     )
 
 
-def current_index(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The index that the stored batches add up to, optionally only those before one batch."""
+def current_index(
+    spark: SparkSession, path: str, before: int | None = None, keys: DataFrame | None = None
+) -> DataFrame | None:
+    """The index that the stored batches add up to.
+
+    ``before`` leaves out that batch and later ones; ``keys`` asks for some
+    files only, which are then the only ones to be shuffled.
+    """
     try:
         rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
     except Exception as error:  # no batch stored yet
@@ -102,6 +108,8 @@ def current_index(spark: SparkSession, path: str, before: int | None = None) ->
     rows = rows.withColumn("batch", F.col("batch").cast("bigint"))
     if before is not None:
         rows = rows.filter(F.col("batch") < before)
+    if keys is not None:
+        rows = rows.join(keys.select(*KEY).distinct(), KEY, "left_semi")
     newest = rows.groupBy(*KEY).agg(F.max("batch").alias("batch"))
     return rows.join(newest, [*KEY, "batch"]).filter(~F.col("deleted")).drop("batch", "deleted")
 
@@ -139,7 +147,7 @@ def store_batch(
     )
     extracted = extract_ungated(source_files(latest.filter(~F.col("deleted"))), extractors)
     current = apply_gates(extracted, settings.join(rules, "repo", "left"), extractors)
-    previous = current_index(spark, path, before=batch)
+    previous = current_index(spark, path, before=batch, keys=changes)
     carried = (
         snapshot.first_snapshot(current)
         if previous is None
