@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,7 +36,7 @@ def list_repo_files(repos: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, top = FileSystem.from_uri(row["root"])
+                fs, top = _open(row["root"])
                 top = top.rstrip("/")
                 pending = [top]
                 while pending:
@@ -82,8 +83,13 @@ def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataF
     )
 
 
+def _open(uri: str) -> tuple[FileSystem, str]:
+    """File system and path of a URI; Hadoop's names for S3 are understood too."""
+    return FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
 def _read_text(uri: str) -> str | None:
-    fs, path = FileSystem.from_uri(uri)
+    fs, path = _open(uri)
     try:
         with fs.open_input_stream(path) as stream:
             return stream.read().decode("utf-8", errors="replace")
