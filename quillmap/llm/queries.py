@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillmap.llm import exact_dedup, sharding  # noqa: F401
+from quillmap.llm import decontamination, exact_dedup, sharding  # noqa: F401
 from quillmap.llm.common import ORACLES, QUERIES  # noqa: F401
