@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillmap.llm import bitpack, decontamination, exact_dedup, near_dedup, sharding  # noqa: F401
+from quillmap.llm import bitpack, bpe, decontamination, exact_dedup, near_dedup, sharding  # noqa: F401
 from quillmap.llm.common import ORACLES, QUERIES  # noqa: F401
