@@ -82,9 +82,13 @@ def matches(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     anchors = ranked.where("rank = 1").select("wid", "size", "term", F.col("off").alias("anchor"))
     starts = index.join(small_side(anchors), "term").withColumn("start", F.col("pos") - F.col("anchor"))
     starts = written(starts.where("start >= 0").select("doc", "wid", "start", "size").distinct(), "starts")
-    near = written(index.join(small_side(starts.select("doc").distinct()), "doc", "left_semi"), "near-postings")
     for ranks in ("rank = 2", "rank > 2"):
         offsets = ranked.where(ranks).select("wid", "off", "term")
+        near = index.join(small_side(written(offsets.select("term").distinct(), "asked-terms")), "term", "left_semi")
+        if ranks == "rank > 2":
+            # Few starts are left once two terms have met: only their documents' lists are read on.
+            left = written(starts.select("doc").distinct(), "asked-documents")
+            near = near.join(small_side(left), "doc", "left_semi")
         needed = offsets.groupBy("wid").agg(F.count(F.lit(1)).alias("needed"))
         # Windows too short to have such a term stay as they are.
         done = starts.join(small_side(needed.select("wid")), "wid", "left_anti")
