@@ -115,19 +115,24 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """``key, node, n, shares``: table keys of both collections' groups that another node has too."""
+    """``key, i, j, node, n, shares``: keys of group i of one collection and group j of the other,
+    where another node has each of the two groups too."""
     parts = nodes.select("node", "n", F.posexplode("groups").alias("i", "group"))
     shared = written(parts.groupBy("i", "group").agg(F.count(F.lit(1)).alias("shares")).where("shares > 1"), "shared-groups")
     held = parts.join(shared, ["i", "group"])
     # At most 2 * GROUPS entries for each node.
+    entry = F.struct("i", "group")
     lists = held.groupBy("node", "n").agg(
-        F.collect_list(F.when(F.col("i") < GROUPS, F.col("group"))).alias("first"),
-        F.collect_list(F.when(F.col("i") >= GROUPS, F.col("group"))).alias("second"),
+        F.collect_list(F.when(F.col("i") < GROUPS, entry)).alias("first"),
+        F.collect_list(F.when(F.col("i") >= GROUPS, entry)).alias("second"),
         F.sum("shares").alias("shares"),
     )
     combined = lists.select("node", "n", "shares", "second", F.explode("first").alias("a"))
     combined = combined.select("node", "n", "shares", "a", F.explode("second").alias("b"))
-    return written(combined.select(F.xxhash64("a", "b").alias("key"), "node", "n", "shares"), "table-keys")
+    return written(combined.select(
+        F.xxhash64("a.group", "b.group").alias("key"), F.col("a.i").alias("i"), (F.col("b.i") - GROUPS).alias("j"),
+        "node", "n", "shares",
+    ), "table-keys")
 
 
 def near_duplicates(
@@ -173,7 +178,7 @@ def near_duplicates(
     links = measured.where(_linked(percent)).select("u", "v")
     roots = written(components(links), "star-components")
 
-    rest = _rest(keys, buckets, measured, roots, percent)
+    rest = _rest(keys, nodes, sets, buckets, measured, roots, percent)
     more = _confirmed(rest, sets).where(_linked(percent)).select("u", "v").distinct()
     more = written(more, "more-links")
     if not more.isEmpty():
@@ -190,12 +195,23 @@ def near_duplicates(
     return out.select("id", "hash", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _rest(keys: DataFrame, buckets: DataFrame, measured: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def _shareable(sets: DataFrame, some: DataFrame) -> DataFrame:
+    """``node, alone``: how many shingles each of ``some`` nodes has that no other of them has."""
+    parts = sets.join(some, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    owners = parts.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return owners.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _rest(
+    keys: DataFrame, nodes: DataFrame, sets: DataFrame, buckets: DataFrame, measured: DataFrame, roots: DataFrame, percent: int
+) -> DataFrame:
     """Pairs of a bucket that no component joins yet and that may still be linked.
 
-    Only members in another component than their centre are paired, with the other members.
-    ``low`` and ``high`` bound each member's distance to the centre in thousandths; a pair whose
-    bounds lie further apart than a link allows is ruled out by the triangle inequality.
+    Only members in another component than their centre are paired, with the other members,
+    and each pair in its first common bucket alone. Three exact bounds rule pairs out: the
+    sizes of the sets; the triangle inequality, with ``low`` and ``high`` for a member's
+    distance to the centre in thousandths; and the shingles that a member shares with anyone
+    at all, of which a link needs as many as its overlap.
     """
     rooted = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = rooted.join(buckets, "key")
@@ -208,18 +224,32 @@ def _rest(keys: DataFrame, buckets: DataFrame, measured: DataFrame, roots: DataF
     rooted = rooted.join(known, ["node", "centre"], "left")
     by_size = 1000 - F.least("n", "centre_n") * 1000 / F.greatest("n", "centre_n")
     rooted = rooted.withColumn("low", F.coalesce("distance", by_size)).withColumn("high", F.coalesce("distance", F.lit(1000.0)))
-    all_members = rooted.where("node <> centre").select("key", "node", "n", "root", "centre_root", "low", "high")
-    strays = written(all_members.where("root <> centre_root"), "strays")
-    busy = written(strays.select("key").distinct(), "stray-buckets")
-    held = written(all_members.join(busy, "key", "left_semi"), "stray-members")
+    members = rooted.where("node <> centre").select("key", "i", "j", "node", "n", "root", "centre_root", "low", "high")
+    busy = written(members.where("root <> centre_root").select("key").distinct(), "stray-buckets")
+    held = written(members.join(busy, "key", "left_semi"), "stray-members")
+    some = written(held.select("node").distinct(), "stray-nodes")
+    facts = some.join(_shareable(sets, some), "node", "left").join(nodes.select("node", "groups"), "node")
+    facts = written(facts.withColumn("alone", F.coalesce("alone", F.lit(0))), "stray-facts")
+    held = held.join(facts, "node").withColumn("shareable", F.col("n") - F.col("alone"))
+    # No set of at least the least size that a link allows can overlap enough with fewer.
+    held = written(held.where(F.col("shareable") * 100 >= F.col("n") * percent), "stray-candidates")
     others = held.select(
         "key", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("root2"),
         F.col("low").alias("low2"), F.col("high").alias("high2"), (F.col("root") == F.col("centre_root")).alias("inner"),
+        F.col("shareable").alias("shareable2"), F.col("groups").alias("groups2"),
     )
-    pairs = strays.withColumnRenamed("node", "u").join(others, "key").where(
+    strays = held.where("root <> centre_root").withColumnRenamed("node", "u")
+
+    def earlier(start: int, count: str) -> Column:
+        part = [F.slice(g, F.lit(start), F.col(count)) for g in ("groups", "groups2")]
+        return F.arrays_overlap(*part)
+
+    pairs = strays.join(others, "key").where(
         (F.col("root") != F.col("root2")) & (F.col("inner") | (F.col("u") < F.col("v")))
         & _near_sizes("n", "n2", percent)
+        & (F.least("shareable", "shareable2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
         & (F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high")) <= 1000 - 10 * percent + 1)
+        & ~earlier(1, "i") & ~earlier(GROUPS + 1, "j")
     )
     return written(pairs.select("u", "v").distinct(), "rest")
 
