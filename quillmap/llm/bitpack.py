@@ -30,7 +30,7 @@ from quillmap.plans.storage import fresh_folder
 
 BLOCK_IDS = 4096
 
-#: Characters that are encoded, or ids that are read, before rows are passed on.
+#: Ids that are read before rows are passed on.
 PORTION = 8 << 20
 _HEADER = struct.Struct("<8sIIQQ")
 _MAGIC = b"TOKBITS1"
@@ -120,29 +120,9 @@ class Reader:
         return self.range(int(self.starts[at]), int(self.starts[at + 1]))
 
 
-def _id_type(bits: int) -> str:
-    return "<u2" if bits <= 16 else "<u4"
-
-
-def _encoder(encode: Callable[[list[str]], list[np.ndarray]], end_id: int, bits: int) -> Callable[[Batches], Batches]:
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            texts, start, size = batch.column("text"), 0, 0
-            for i in range(len(texts)):
-                size += len(texts[i].as_py() or "")
-                if size >= PORTION or i + 1 == len(texts):
-                    part = batch.slice(start, i + 1 - start)
-                    ids = encode([t or "" for t in part.column("text").to_pylist()])
-                    packed = [np.append(x, np.uint32(end_id)).astype(_id_type(bits)).tobytes() for x in ids]
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), pa.array(packed, pa.binary())], names=["id", "ids"]
-                    )
-                    start, size = i + 1, 0
-
-    return run
-
-
-def _packer(folder: str, bits: int) -> Callable[[Batches], Batches]:
+def _packer(
+    folder: str, encode: Callable[[list[str]], list[np.ndarray]], end_id: int, bits: int
+) -> Callable[[Batches], Batches]:
     def write(batches: Batches) -> Batches:
         # Each attempt writes a file of its own; only files of finished tasks get into the index.
         name, writer, stream = f"{uuid.uuid4().hex}.bits", None, None
@@ -153,8 +133,9 @@ def _packer(folder: str, bits: int) -> Callable[[Batches], Batches]:
                 stream = system.open_output_stream(f"{path}/{name}")
                 writer = Writer(stream, bits)
             at = len(writer.starts)
-            for ids in batch.column("ids"):
-                writer.add(np.frombuffer(ids.as_buffer(), _id_type(bits)).astype(np.uint32))
+            for text in batch.column("text"):
+                ids = encode([text.as_py() or ""])[0]
+                writer.add(np.append(ids, np.uint32(end_id)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("part"), pa.array([name] * len(batch), pa.string()),
                  pa.array(range(at, at + len(batch)), pa.int64())],
@@ -214,16 +195,17 @@ def write_ids(
     """Encode all texts, write the ids below ``folder``, return the index ``id, part, file, at``.
 
     Documents lie in ascending order of identifier (nulls first; repeated ones in an order
-    fixed by their ids) over files in ascending order of ``part``. A null text has the end id
-    alone. An empty table writes no file. Ids travel to their file at 2 or 4 bytes each.
+    fixed by their texts) over files in ascending order of ``part``. A null text has the end id
+    alone. An empty table writes no file. Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
     id_type = rows.schema["id"].dataType.simpleString()
-    encoded = rows.mapInArrow(_encoder(encode, end_id, bits), f"id {id_type}, ids binary")
-    keyed = encoded.withColumn("tie", F.xxhash64("ids"))
-    ordered = keyed.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
-    placed = ordered.select("id", "ids", F.spark_partition_id().alias("part"))
-    files = placed.mapInArrow(_packer(folder, bits), f"id {id_type}, part int, file string, at bigint")
+    # Texts are encoded after the exchange: finding its ranges reads the input once more.
+    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
+    placed = ordered.select("id", "text", F.spark_partition_id().alias("part"))
+    files = placed.mapInArrow(
+        _packer(folder, encode, end_id, bits), f"id {id_type}, part int, file string, at bigint"
+    )
     return written(files, "packed-index")
 
 
