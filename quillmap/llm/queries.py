@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillmap.llm import bitpack, bpe, decontamination, exact_dedup, language_id, near_dedup, sharding, warc  # noqa: F401
+from quillmap.llm import bitpack, bpe, decontamination, exact_dedup, language_id, lm_scoring, near_dedup, sharding, warc  # noqa: F401
 from quillmap.llm.common import ORACLES, QUERIES  # noqa: F401
