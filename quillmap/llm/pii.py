@@ -39,7 +39,7 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM = "term"
 
 REACH = 80
-SUPPORT = 3
+SUPPORT = 2
 GENERALISE = 0.6
 REMOVE = 0.9
 
