@@ -9,9 +9,9 @@ of below one in ten million.
 Groups that only one document has cannot be part of a shared key and are dropped before keys
 are formed. Equal sets are one class from the start. In each bucket the documents are
 compared with one centre, the one that shares most; what is still in another component
-than the centre is then compared with the bucket, unless sizes or the triangle
-inequality of the Jaccard distance rule a link out. So no link within a bucket is lost, and
-a large group of copies costs one comparison for each.
+than the centre is then compared with the bucket, unless what both share with the centre
+and beyond it rules a link out. So no link within a bucket is lost, and a large group of
+copies costs one comparison for each.
 """
 
 from __future__ import annotations
@@ -98,12 +98,15 @@ def _setter(size: int) -> Callable[[Batches], Batches]:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``u, v, distance`` of each pair, from the full sets."""
+    """``u, v, shared, all, own`` of each pair from the full sets: the sizes of intersection and
+    union, and the shingles of ``u`` that ``v`` lacks."""
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     both = pairs.join(left, "u").join(right, "v")
     shared = F.size(F.array_intersect("a", "b")).cast("bigint")
-    return both.select("u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("all"))
+    return both.select(
+        "u", "v", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("all"), F.array_except("a", "b").alias("own")
+    )
 
 
 def _linked(percent: int) -> Column:
@@ -161,13 +164,12 @@ def near_duplicates(
     nodes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keys = _keys(nodes)
-    buckets = keys.groupBy("key").agg(F.max(F.struct("shares", "node", "n")).alias("c"), F.count(F.lit(1)).alias("members"))
+    buckets = keys.groupBy("key").agg(F.max(F.struct("shares", "node")).alias("c"), F.count(F.lit(1)).alias("members"))
     buckets = written(
-        buckets.where("members > 1").select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")), "buckets"
+        buckets.where("members > 1").select("key", F.col("c.node").alias("centre")), "buckets"
     )
     members = keys.join(buckets, "key").where("node <> centre")
-    near = members.where(_near_sizes("n", "centre_n", percent))
-    stars = written(near.select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
+    stars = written(members.select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
 
     in_buckets = keys.join(buckets.select("key"), "key", "left_semi").select("node").distinct()
     wanted = written(nodes.join(in_buckets, "node").select("node", "at"), "candidates")
@@ -178,7 +180,7 @@ def near_duplicates(
     links = measured.where(_linked(percent)).select("u", "v")
     roots = written(components(links), "star-components")
 
-    rest = _rest(keys, nodes, sets, buckets, measured, roots, percent)
+    rest = _rest(keys, nodes, buckets, measured, roots, percent)
     more = _confirmed(rest, sets).where(_linked(percent)).select("u", "v").distinct()
     more = written(more, "more-links")
     if not more.isEmpty():
@@ -195,48 +197,30 @@ def near_duplicates(
     return out.select("id", "hash", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _shareable(sets: DataFrame, some: DataFrame) -> DataFrame:
-    """``node, alone``: how many shingles each of ``some`` nodes has that no other of them has."""
-    parts = sets.join(some, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    owners = parts.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    return owners.where("node = last").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-
-
 def _rest(
-    keys: DataFrame, nodes: DataFrame, sets: DataFrame, buckets: DataFrame, measured: DataFrame, roots: DataFrame, percent: int
+    keys: DataFrame, nodes: DataFrame, buckets: DataFrame, measured: DataFrame, roots: DataFrame, percent: int
 ) -> DataFrame:
     """Pairs of a bucket that no component joins yet and that may still be linked.
 
     Only members in another component than their centre are paired, with the other members,
-    and each pair in its first common bucket alone. Three exact bounds rule pairs out: the
-    sizes of the sets; the triangle inequality, with ``low`` and ``high`` for a member's
-    distance to the centre in thousandths; and the shingles that a member shares with anyone
-    at all, of which a link needs as many as its overlap.
+    and each pair in its first common bucket alone. Exact bounds rule pairs out: the sizes of
+    the sets, and their overlap, which is at most what the one that shares less with the centre
+    shares with it, and the shingles that both have and the centre lacks.
     """
     rooted = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = rooted.join(buckets, "key")
+    rooted = rooted.join(buckets, "key").where("node <> centre")
     centres = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
     rooted = rooted.join(centres, "centre", "left").withColumn("centre_root", F.coalesce("centre_root", "centre"))
-    known = measured.select(
-        F.col("u").alias("node"), F.col("v").alias("centre"),
-        ((F.col("all") - F.col("shared")) * 1000 / F.col("all")).alias("distance"),
-    )
-    rooted = rooted.join(known, ["node", "centre"], "left")
-    by_size = 1000 - F.least("n", "centre_n") * 1000 / F.greatest("n", "centre_n")
-    rooted = rooted.withColumn("low", F.coalesce("distance", by_size)).withColumn("high", F.coalesce("distance", F.lit(1000.0)))
-    members = rooted.where("node <> centre").select("key", "i", "j", "node", "n", "root", "centre_root", "low", "high")
+    members = rooted.select("key", "i", "j", "node", "n", "root", "centre", "centre_root")
     busy = written(members.where("root <> centre_root").select("key").distinct(), "stray-buckets")
     held = written(members.join(busy, "key", "left_semi"), "stray-members")
-    some = written(held.select("node").distinct(), "stray-nodes")
-    facts = some.join(_shareable(sets, some), "node", "left").join(nodes.select("node", "groups"), "node")
-    facts = written(facts.withColumn("alone", F.coalesce("alone", F.lit(0))), "stray-facts")
-    held = held.join(facts, "node").withColumn("shareable", F.col("n") - F.col("alone"))
-    # No set of at least the least size that a link allows can overlap enough with fewer.
-    held = written(held.where(F.col("shareable") * 100 >= F.col("n") * percent), "stray-candidates")
+    known = measured.select(F.col("u").alias("node"), F.col("v").alias("centre"), "shared", "own")
+    held = held.join(known, ["node", "centre"]).join(nodes.select("node", "groups"), "node")
+    held = written(held, "stray-facts")
     others = held.select(
         "key", F.col("node").alias("v"), F.col("n").alias("n2"), F.col("root").alias("root2"),
-        F.col("low").alias("low2"), F.col("high").alias("high2"), (F.col("root") == F.col("centre_root")).alias("inner"),
-        F.col("shareable").alias("shareable2"), F.col("groups").alias("groups2"),
+        F.col("shared").alias("shared2"), F.col("own").alias("own2"), (F.col("root") == F.col("centre_root")).alias("inner"),
+        F.col("groups").alias("groups2"),
     )
     strays = held.where("root <> centre_root").withColumnRenamed("node", "u")
 
@@ -244,12 +228,12 @@ def _rest(
         part = [F.slice(g, F.lit(start), F.col(count)) for g in ("groups", "groups2")]
         return F.arrays_overlap(*part)
 
+    overlap = F.least("shared", "shared2") + F.size(F.array_intersect("own", "own2"))
     pairs = strays.join(others, "key").where(
         (F.col("root") != F.col("root2")) & (F.col("inner") | (F.col("u") < F.col("v")))
         & _near_sizes("n", "n2", percent)
-        & (F.least("shareable", "shareable2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-        & (F.greatest(F.col("low") - F.col("high2"), F.col("low2") - F.col("high")) <= 1000 - 10 * percent + 1)
         & ~earlier(1, "i") & ~earlier(GROUPS + 1, "j")
+        & (overlap * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
     )
     return written(pairs.select("u", "v").distinct(), "rest")
 
