@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -41,10 +42,13 @@ LONG = 64
 AGREE, REACH = 4, 256
 
 #: Stretches that one task remembers; beyond, it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 50_000
+
+#: Stretches that the library encodes in one call.
+AT_ONCE = 2_048
 
 #: Characters of short texts that are encoded before rows are passed on.
-PORTION = 4 << 20
+PORTION = 512 << 10
 
 Batches = Iterator[pa.RecordBatch]
 #: Ids, the same as decimal text, and as decoded text.
@@ -77,13 +81,15 @@ class Codec:
         return self.library.decode(ids, skip_special_tokens=False)
 
     def learn(self, stretches: set[str]) -> None:
-        """Encode, in one batch, those stretches that are not remembered yet."""
+        """Encode those stretches that are not remembered yet."""
         new = list(stretches - self.known.keys())
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {"": _NOTHING}
             new = list(stretches)
-        found = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update(zip(new, (self.entry(e.ids) for e in found)))
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i: i + AT_ONCE]
+            found = self.library.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update(zip(part, (self.entry(e.ids) for e in found)))
 
     def leaf_units(self, start: int, text: str) -> list[Unit]:
         """Units of a leaf whose first character has the place ``start`` in the text."""
@@ -170,6 +176,8 @@ _codecs: dict[str, Codec] = {}
 
 
 def _codec(path: str) -> Codec:
+    # Tasks are the unit of parallel work; the library's own threads would each keep memory.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
