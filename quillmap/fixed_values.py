@@ -21,6 +21,7 @@ IGNORED_DIRECTORIES = [
     "node_modules", ".git", "dist", "build", ".next", "out", "coverage",
     ".aicontext", ".turbo", ".cache", ".vercel",
 ]
+STATE_DIRECTORY = ".aicontext"
 IGNORED_NAME_PATTERNS = [
     r"[^/]*\.min\.[^/]*", r"[^/]*\.d\.ts", r"[^/]*\.map",
     r"package-lock\.json", r"pnpm-lock\.yaml", r"yarn\.lock", r"bun\.lockb",

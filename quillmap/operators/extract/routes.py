@@ -36,7 +36,8 @@ def app_url(rel: Column) -> Column:
 
 def pages_url(rel: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(rel, "^pages/", ""), r"\.(tsx?|jsx?)\z", "")
-    bare = F.regexp_replace(bare, r"(?:^|/)index\z", "")
+    # The last segment "index" goes, and then a whole path "index".
+    bare = F.regexp_replace(F.regexp_replace(bare, r"/index\z", ""), r"^index\z", "")
     return F.concat(F.lit("/"), F.array_join(F.transform(F.split(bare, "/"), _dynamic), "/"))
 
 

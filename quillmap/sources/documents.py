@@ -33,7 +33,7 @@ TASK_SCHEMA = (
     "struct<id:string,title:string,suited:array<string>,status:string,claimedBy:string,"
     "notes:string,deps:array<string>>"
 )
-_FRONT = r"\A---[ \t]*\r?\n([\s\S]*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)"
+_FRONT = r"\A---[ \t]*\r?\n(?:([\s\S]*?)\r?\n)??---[ \t]*(?:\r?\n|\z)"
 
 
 def strict_json(text: Column) -> Column:
@@ -43,7 +43,12 @@ def strict_json(text: Column) -> Column:
         second = F.try_variant_get(wrapped, "$[1]", "variant")
         return F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
 
-    return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), only)
+    # A text that closes the added bracket itself cannot close an added brace too.
+    braced = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return let(
+        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))),
+        lambda wrapped: F.when(braced.isNotNull(), only(wrapped)),
+    )
 
 
 def parse_json(text: Column, schema: str) -> Column:

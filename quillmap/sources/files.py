@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType
@@ -20,37 +20,47 @@ _DROPPED = (
 )
 
 
-_LISTED = "repo string, path string, uri string, mtime timestamp"
+_LISTED = "repo string, path string, root string, file string, mtime timestamp"
 _BATCH_BYTES = 32 * 1024 * 1024
 
 
-def list_repo_files(repos: DataFrame) -> DataFrame:
-    """``repo, root`` to one row per file: ``repo, path, uri, mtime``.
+#: Directories that no reader of this package looks into. The state folder is not among them.
+PRUNED = [d for d in fx.IGNORED_DIRECTORIES if d != fx.STATE_DIRECTORY]
+
+
+def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED) -> DataFrame:
+    """``repo, root`` to one row per file: ``repo, path, root, file, mtime``.
 
     Spark's own file sources leave out empty files and all names that start
     with a dot or an underscore, so ignore files and files such as ``_app.tsx``
     would be missing. Here tasks walk the trees themselves, one directory at a
-    time, on any file system that Arrow can open.
+    time, on any file system that Arrow can open. Directories named in ``pruned`` are
+    not entered, at any depth.
+
+    Only ``root`` is a URI; ``file`` is the plain path on its file system, so names
+    may hold brackets, blanks or any other character.
     """
+    skipped = frozenset(pruned)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 fs, top = _open(row["root"])
                 top = top.rstrip("/")
-                pending = [top]
+                pending = [top or "/"]
                 while pending:
                     entries = fs.get_file_info(FileSelector(pending.pop()))
-                    pending += [e.path for e in entries if e.type == FileType.Directory]
-                    below = [(e.path[len(top) :], e.mtime) for e in entries if e.type == FileType.File]
+                    pending += [e.path for e in entries if e.type == FileType.Directory and e.base_name not in skipped]
+                    files = [e for e in entries if e.type == FileType.File]
                     yield pa.record_batch(
                         [
-                            pa.array([row["repo"]] * len(below), pa.string()),
-                            pa.array([path[1:] for path, _ in below], pa.string()),
-                            pa.array([row["root"].rstrip("/") + path for path, _ in below], pa.string()),
-                            pa.array([mtime for _, mtime in below], pa.timestamp("us", "UTC")),
+                            pa.array([row["repo"]] * len(files), pa.string()),
+                            pa.array([e.path[len(top) :].lstrip("/") for e in files], pa.string()),
+                            pa.array([row["root"]] * len(files), pa.string()),
+                            pa.array([e.path for e in files], pa.string()),
+                            pa.array([e.mtime for e in files], pa.timestamp("us", "UTC")),
                         ],
-                        ["repo", "path", "uri", "mtime"],
+                        ["repo", "path", "root", "file", "mtime"],
                     )
 
     listed = repos.select("repo", "root").mapInArrow(walk, _LISTED)
@@ -60,16 +70,21 @@ def list_repo_files(repos: DataFrame) -> DataFrame:
 def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataFrame:
     """Add ``content`` to listed files; NULL where a file cannot be read.
 
-    Paths are spread over tasks first, so one large repository is read by many.
-    Bytes that are not UTF-8 become U+FFFD.
+    Paths are spread over tasks first, so one large repository is read by many. Each
+    task opens the file system of a root once. Filter ``listed`` by path before to
+    read fewer files. Bytes that are not UTF-8 become U+FFFD.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, FileSystem] = {}
         for batch in batches:
             contents: list[str | None] = []
             size = start = 0
-            for i, uri in enumerate(batch.column("uri").to_pylist(), 1):
-                contents.append(_read_text(uri))
+            places = zip(batch.column("root").to_pylist(), batch.column("file").to_pylist())
+            for i, (root, file) in enumerate(places, 1):
+                if root not in opened:
+                    opened[root] = _open(root)[0]
+                contents.append(_read_text(opened[root], file))
                 size += len(contents[-1] or "")
                 if size >= _BATCH_BYTES or i == batch.num_rows:
                     done = batch.slice(start, i - start).select(["repo", "path", "mtime"])
@@ -78,7 +93,7 @@ def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataF
 
     columns = [F.col("repo"), F.col("path")]
     spread = listed.repartition(partitions, *columns) if partitions else listed.repartition(*columns)
-    return spread.select("repo", "path", "mtime", "uri").mapInArrow(
+    return spread.select("repo", "path", "mtime", "root", "file").mapInArrow(
         read, "repo string, path string, mtime timestamp, content string"
     )
 
@@ -88,8 +103,7 @@ def _open(uri: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
-def _read_text(uri: str) -> str | None:
-    fs, path = _open(uri)
+def _read_text(fs: FileSystem, path: str) -> str | None:
     try:
         with fs.open_input_stream(path) as stream:
             return stream.read().decode("utf-8", errors="replace")

@@ -246,27 +246,32 @@ def test_reading_a_tree(spark, tmp_path):
     tree = {
         "r1/src/a.ts": b"x\xff\n", "r1/b.md": b"", "r1/.gitignore": b"b", "r1/pages/_app.tsx": b"",
         "r2/d/e/c.sql": b"select 1", "r2/locked.ts": b"x",
+        "r1/app/[id]/route.ts": b"1", "r1/a b/c#d%20?.ts": b"2", "r2/(x)/[...all]/é.ts": b"3",
     }
-    for path, data in tree.items():
+    pruned = ["r1/node_modules/m/a.ts", "r2/d/.git/HEAD", "r2/dist/a.ts"]
+    for path, data in {**tree, **dict.fromkeys(pruned, b"")}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
-    repos = spark.createDataFrame([(r, f"{tmp_path}/{r}") for r in ("r1", "r2")], "repo string, root string")
+    roots = [("r1", f"{tmp_path}/r1"), ("r2", f"file://{tmp_path}/r2/")]
+    repos = spark.createDataFrame(roots, "repo string, root string")
     listed = list_repo_files(repos)
-    gone = F.when(F.col("path") == "locked.ts", F.concat("uri", F.lit("?"))).otherwise(F.col("uri"))
-    files = read_listed_files(listed.withColumn("uri", gone), 2)
+    assert list_repo_files(repos, pruned=[]).count() == len(tree) + len(pruned)
+    gone = F.when(F.col("path") == "locked.ts", F.concat("file", F.lit("?"))).otherwise(F.col("file"))
+    files = read_listed_files(listed.withColumn("file", gone), 2)
     got = {(r.repo, r.path): r.content for r in files.collect()}
     want = {tuple(k.split("/", 1)): v.decode(errors="replace") for k, v in tree.items()}
     assert got == {**want, ("r2", "locked.ts"): None}
     assert snapshot.count_errors(listed, files.filter("content is not null")).collect() == [("r2", 1)]
-    assert read_repo_files(repos).count() == 6
+    assert read_repo_files(repos).count() == len(tree)
 
 
 def test_documents(spark):
     from helpers import apply
 
-    texts = ["---\na: 1\nb: x: y\na: 2\n---\nbody\n", "no front\n---\n", "---\n---\nz"]
-    assert apply(spark, texts, front_matter) == [{"a": "2", "b": "x: y"}, {}, {}]
-    assert apply(spark, texts, document_body) == ["body\n", "no front\n---\n", "z"]
+    texts = ["---\na: 1\nb: x: y\na: 2\n---\nbody\n", "no front\n---\n", "---\n---\nz", "---\na: b ---\nc: d\n---\nz"]
+    assert apply(spark, texts, front_matter) == [{"a": "2", "b": "x: y"}, {}, {}, {"a": "b ---", "c": "d"}]
+    assert apply(spark, texts, document_body) == ["body\n", "no front\n---\n", "z", "z"]
     docs = ["{}", "[1]", "{} x", "{},{}", "", "{'a':1}", '"s"', "null"]
+    docs += ['{"a":1}] trailing', '{"a":1}],[{"b":2}', "1] x", "[1]]", "1}", "[[]]"]
     ok = apply(spark, docs, lambda c: strict_json(c).isNotNull())
-    assert ok == [True, True, False, False, False, False, True, True]
+    assert ok == [True, True, False, False, False, False, True, True, False, False, False, False, False, True]
