@@ -31,7 +31,7 @@ GROUPS = 12
 WIDTH = 3
 
 #: Texts of a batch are hashed in portions of about so many bytes.
-PORTION = 8 << 20
+PORTION = 512 << 10
 
 _rng = np.random.default_rng(20240301)
 _XOR = _rng.integers(0, 1 << 63, (2 * GROUPS * WIDTH), dtype=np.uint64)
