@@ -39,10 +39,12 @@ def test_patterns(spark):
     pool = ["a", "B", ".", "@", "_", "-", "+", "1", "25", "255", "0", "007", " ", "  ", "(", ")", "é", "🙂", "x@y.zz", "1.2.3.4",
             "4111 1111 1111 1111", "+1 202 555 0100", "4111111111111111", "%", "378282246310005", "6011-0009-9013-9424"]
     texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 60))) for _ in range(6000)]
-    texts += ["a" * 200_000, "1 " * 100_000, "9" * 200_000, "1.2." * 2000, "+1" + "(" * 100_000, "@" * 50_000, "x@" * 20_000]
+    # Plain matching takes quadratic time on these two, which hold nothing.
+    bare = ["a" * 200_000, "9" * 200_000]
+    texts += [*bare, "1 " * 100_000, "1.2." * 2000, "+1" + "(" * 100_000, "@" * 50_000, "x@" * 20_000]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
     got = {r.i: [(s.kind, s.start, s.end) for s in r.s] for r in df.select("i", pii.pattern_spans(F.col("t")).alias("s")).collect()}
-    assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
+    assert [got[i] for i in range(len(texts))] == [[] if t in bare else brute(t) for t in texts]
 
 
 NEAR = [
