@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding by recursive queries, one DuckDB database per task.
 
 Texts are cut into words by the vocabulary's pattern. Every word that a task has not met before
-becomes rows of (word, position, token id), at first one row per byte (or one, if the word is a token). A recursive query
+becomes rows of (word, position, token id), at first one row per byte; one that is a token itself needs no step. A recursive query
 joins neighbouring rows with the merge table and contracts, in each word and step, the leftmost pair
 of least rank, until no row has a partner. An aggregation in the order of positions
-spells each word as ids and, by the vocabulary, as decoded bytes; another one in the order of places in the
-text spells the texts.
+spells each word as ids and, by the vocabulary, as decoded bytes; what the words of a text are spelled as, in the
+order of their places, is one run of bytes and its result.
 
 The merge table holds one pair per token: the last two parts of the token when its own bytes are
 merged by rank. No other pair of these bytes can meet in any text. If each rank is above those of the
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quillmap.llm.common import query, table
 
 #: Words that one task remembers; beyond, it forgets all and starts again.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 
 #: Words of texts that one query takes, and those of them whose merges one recursion takes.
 PORTION = 400_000
@@ -50,26 +50,39 @@ MEMORY = "400MB"
 Batches = Iterator[pa.RecordBatch]
 
 _TABLES = """
-    CREATE TABLE spelled (word INTEGER, tokens BIGINT, ids VARCHAR, bytes VARCHAR);
+    CREATE TABLE spelled (word INTEGER, ids BLOB, bytes BLOB);
     CREATE TABLE vocabulary AS SELECT * FROM vocabulary_rows;
     CREATE TABLE merges AS SELECT * FROM merge_rows"""
 
-# A row holds its position and the next one. All steps are kept until the end, which short words can
-# afford; a word's last step is its result. Rank and position of a pair are one number.
+# A row holds the token, the one after it and the rank of both together, so that a step looks up only what a
+# contraction changed. The least pair of a word is one number: rank, position, next position. All steps are
+# kept until the end, which short words can afford; a word's last step is its result.
 _MERGE_SHORT = f"""
-    WITH RECURSIVE state(step, word, pos, next_pos, id) AS (
-        SELECT 0, word, pos, pos + 1, id FROM symbols
+    WITH RECURSIVE state(step, word, pos, next_pos, id, next_id, merged) AS (
+        SELECT 0, word, pos, pos + 1, s.id, s.next_id, m.merged
+        FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next_id FROM symbols) s
+        LEFT JOIN merges m ON s.id = m.first AND s.next_id = m.second
         UNION ALL
-        (WITH ranked AS (
-            SELECT a.step, a.word, a.pos, a.next_pos, a.id, b.next_pos AS end_pos, m.merged
-            FROM state a LEFT JOIN state b ON a.word = b.word AND a.next_pos = b.pos
-            LEFT JOIN merges m ON a.id = m.first AND b.id = m.second),
-        least AS (
-            SELECT word, min(merged::BIGINT * {LONG} + pos) % {LONG} AS pos FROM ranked WHERE merged IS NOT NULL GROUP BY word),
-        pair AS (SELECT word, pos, r.next_pos FROM least JOIN ranked r USING (word, pos))
-        SELECT step + 1, r.word, r.pos, CASE WHEN r.pos = p.pos THEN r.end_pos ELSE r.next_pos END,
-               CASE WHEN r.pos = p.pos THEN r.merged ELSE r.id END
-        FROM ranked r JOIN pair p ON r.word = p.word WHERE r.pos <> p.next_pos)),
+        (WITH least AS (
+            SELECT word, min((merged::BIGINT * {LONG} + pos) * {2 * LONG} + next_pos) AS pair FROM state GROUP BY word),
+        pair AS (
+            SELECT word, pair // {2 * LONG * LONG} AS merged, pair // {2 * LONG} % {LONG} AS pos, pair % {2 * LONG} AS next_pos
+            FROM least WHERE pair IS NOT NULL),
+        around AS (
+            SELECT word, p.merged, p.pos, p.next_pos, max(CASE WHEN s.next_pos = p.pos THEN s.id END) AS before_id,
+                   max(CASE WHEN s.pos = p.next_pos THEN s.next_pos END) AS end_pos,
+                   max(CASE WHEN s.pos = p.next_pos THEN s.next_id END) AS after_id
+            FROM state s JOIN pair p USING (word) WHERE s.next_pos = p.pos OR s.pos = p.next_pos GROUP BY ALL),
+        known AS (
+            SELECT a.*, b.merged AS with_before, c.merged AS with_after FROM around a
+            LEFT JOIN merges b ON a.before_id = b.first AND a.merged = b.second
+            LEFT JOIN merges c ON a.merged = c.first AND a.after_id = c.second)
+        SELECT step + 1, s.word, s.pos,
+               CASE WHEN s.pos = k.pos THEN k.end_pos ELSE s.next_pos END,
+               CASE WHEN s.pos = k.pos THEN k.merged ELSE s.id END,
+               CASE WHEN s.pos = k.pos THEN k.after_id WHEN s.next_pos = k.pos THEN k.merged ELSE s.next_id END,
+               CASE WHEN s.pos = k.pos THEN k.with_after WHEN s.next_pos = k.pos THEN k.with_before ELSE s.merged END
+        FROM state s JOIN known k ON s.word = k.word WHERE s.pos <> k.next_pos)),
     steps AS (SELECT word, max(step) AS step FROM state GROUP BY word),
     result AS (SELECT word, pos, id FROM state SEMI JOIN steps USING (word, step))"""
 
@@ -98,13 +111,12 @@ _MERGE_LONG = """
 
 _SPELL = """
     INSERT INTO spelled {merged}
-    SELECT word, count(*), string_agg(v.id_hex, '' ORDER BY pos), string_agg(v.bytes_hex, '' ORDER BY pos)
+    SELECT word, unhex(string_agg(v.id_hex, '' ORDER BY pos)), unhex(string_agg(v.bytes_hex, '' ORDER BY pos))
     FROM result JOIN vocabulary v USING (id) GROUP BY word"""
 
-_TEXTS = """
-    SELECT part, sum(tokens)::BIGINT AS tokens, unhex(string_agg(ids, '' ORDER BY place)) AS ids,
-           unhex(string_agg(bytes, '' ORDER BY place)) AS bytes
-    FROM places JOIN spelled USING (word) GROUP BY part ORDER BY part"""
+_SPELL_TOKENS = "INSERT INTO spelled SELECT word, unhex(id_hex), unhex(bytes_hex) FROM symbols JOIN vocabulary USING (id)"
+
+_TEXTS = "SELECT ids, bytes FROM places JOIN spelled USING (word) ORDER BY place"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,40 +158,44 @@ class Merger:
         self.base.execute(_TABLES)
         self.codes: dict[str, int] = {}
 
-    def _with(self, name: str, rows: pa.Table, statement: str) -> list[tuple]:
+    def _with(self, name: str, rows: pa.Table, statement: str) -> pa.Table:
         self.base.register(name, rows)
         try:
-            return self.base.execute(statement).fetchall()
+            return self.base.sql(statement).to_arrow_table() if statement.startswith("SELECT") else self.base.execute(statement).fetchall()
         finally:
             self.base.unregister(name)
 
     def _spell(self, words: list[str], merge: str) -> None:
         coded = [w.encode() for w in words]
-        # A word that is a token itself is its only symbol.
-        symbols = [[self.ranks[c]] if c in self.ranks else self.of_byte[np.frombuffer(c, np.uint8)] for c in coded]
-        sizes = np.array([len(x) for x in symbols])
+        sizes = np.array([len(c) for c in coded])
         symbols = pa.table({
             "word": np.repeat(np.array([self.codes[w] for w in words], np.int32), sizes),
             "pos": (np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
-            "id": np.concatenate(symbols).astype(np.int32),
+            "id": self.of_byte[np.frombuffer(b"".join(coded), np.uint8)],
         })
         self._with("symbols", symbols, _SPELL.format(merged=merge))
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Spell the words that are not spelled yet; forget all others first if they are too many."""
-        new = [w for w in words if w not in self.codes]
+        new = list(set(words).difference(self.codes))
         if len(self.codes) + len(new) > REMEMBERED:
-            self.codes, new = {}, list(words)
+            self.codes, new = {}, list(set(words))
             self.base.execute("DELETE FROM spelled")
         self.codes.update(zip(new, range(len(self.codes), len(self.codes) + len(new))))
-        # A character has at most four bytes.
-        short = [w for w in new if len(w) * 4 <= LONG or len(w.encode()) <= LONG]
+        tokens, short, long = [], [], []
+        for word in new:
+            coded = word.encode()
+            if coded in self.ranks:
+                tokens.append((self.codes[word], self.ranks[coded]))
+            else:
+                (short if len(coded) <= LONG else long).append(word)
+        # A word that is a token is spelled already.
+        columns = [pa.array(c, pa.int32()) for c in zip(*tokens)] or [pa.array([], pa.int32())] * 2
+        self._with("symbols", pa.table(columns, names=["word", "id"]), _SPELL_TOKENS)
         for i in range(0, len(short), AT_ONCE):
             self._spell(short[i: i + AT_ONCE], _MERGE_SHORT)
-        known = set(short)
-        for word in new:
-            if word not in known:
-                self._spell([word], self.merge_long)
+        for word in long:
+            self._spell([word], self.merge_long)
 
     def portions(self, texts: list[str]) -> Iterator[list[tuple[int, list[str], bool]]]:
         """Texts as (number, words, whether the text ends there), in lists of at most ``PORTION`` words."""
@@ -204,26 +220,38 @@ class Merger:
         digests = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
         kept: list[tuple[list[bytes], list[bytes]]] = [([], []) for _ in texts]
         for portion in self.portions(texts):
-            self.learn({w for _, words, _ in portion for w in words})
-            sizes = np.array([len(words) for _, words, _ in portion])
+            words = [w for _, some, _ in portion for w in some]
+            self.learn(words)
             places = pa.table({
-                "part": np.repeat(np.arange(len(portion), dtype=np.int32), sizes),
-                "place": np.arange(sizes.sum(), dtype=np.int32),
-                "word": np.array([self.codes[w] for _, words, _ in portion for w in words], np.int32),
+                "place": np.arange(len(words), dtype=np.int32),
+                "word": np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words)),
             })
-            for part, tokens, ids, decoded in self._with("places", places, _TEXTS):
-                i = portion[part][0]
-                counts[i] += tokens
-                for digest, value, held in zip(digests[i], (ids, decoded), kept[i]):
-                    digest.update(value)
+            runs = [_run(column) for column in self._with("places", places, _TEXTS).columns]
+            first = 0
+            for i, some, _ in portion:
+                last = first + len(some)
+                for which, (offsets, values) in enumerate(runs):
+                    value = values[offsets[first]: offsets[last]]
+                    digests[i][which].update(value)
+                    counts[i] += len(value) // 4 if which == 0 else 0
                     if full:
-                        held.append(value)
+                        kept[i][which].append(bytes(value))
+                first = last
         return [
             (n, a.hexdigest(), b.hexdigest(), *((np.frombuffer(b"".join(x), "<u4").tolist(), b"".join(y)) if full else (None, None)))
             for n, (a, b), (x, y) in zip(counts, digests, kept)
         ]
 
 
+def _run(column: pa.ChunkedArray) -> tuple[np.ndarray, memoryview]:
+    """Where each value starts and the last one ends in the bytes of all values."""
+    values = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks] or [pa.array([], pa.large_binary())])
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(1, np.int64), memoryview(b"")
+    return np.frombuffer(offsets, np.int64)[: len(values) + 1], memoryview(data)
+
+
 _mergers: dict[tuple[str, str], Merger] = {}
 
 
