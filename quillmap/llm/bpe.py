@@ -1,18 +1,16 @@
-"""BPE encoding and decoding of whole texts, long ones as a tree of halves.
+"""BPE encoding and decoding of whole texts as a tree of halves.
 
 A text is halved until a part has at most ``leaf`` characters, wherever that cuts. The leaves
-are encoded independently. Joining two halves re-encodes a window around the cut, growing until
-on either side a run of ``AGREE`` units in it equals what the half had there, units, places
-and ids; what lies between the two runs is taken from the window. A window that has grown
+are encoded independently. Joining two halves re-encodes a window around the cut, which grows until on
+either side it agrees exactly with the half there: two neighbours with a blank between, or
+``AGREE`` tokens in a row where nothing is blank, have the same ids and places in both. What lies between
+the two places of agreement is taken from the window, the rest from the halves. A window that has grown
 over both halves is simply their encoding. The root is the encoding of the text.
 
 Texts longer than ``spread`` characters have their leaves encoded as rows of their own, in any
 task, and meet again for the joins; shorter ones are encoded in the task that reads them.
 
-A unit is a stretch between blanks with its ids, or a single token of a stretch longer than
-``LONG``. Stretches between blanks are encoded once per task and remembered, which is
-exact for vocabularies whose tokens never reach over a blank; ``Codec`` takes only those.
-Decoding works by stretch in the same way if the vocabulary has no decoder, else on all ids.
+Agreement at a blank is exact for vocabularies whose tokens never reach over one; ``Codec`` takes only those.
 """
 
 from __future__ import annotations
@@ -20,9 +18,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,31 +31,34 @@ from tokenizers import Tokenizer
 from quillmap.llm.common import query, table
 
 #: Most characters of a leaf, and of a text that is not spread over tasks.
-LEAF = 16_384
+LEAF = 4096
 SPREAD = 1 << 20
 
-#: Stretches longer than this are kept by token, and not remembered.
-LONG = 64
+#: Equal tokens in a row on which a window and a half agree where there is no blank.
+AGREE = 8
 
-#: Equal units in a row on which a window and a half agree, and the first window's reach.
-AGREE, REACH = 4, 256
+#: Characters on either side of a cut that the first window takes.
+REACH = 128
 
-#: Stretches that one task remembers; beyond, it forgets all and starts again.
-REMEMBERED = 50_000
-
-#: Stretches that the library encodes in one call.
-AT_ONCE = 2_048
-
-#: Characters of short texts that are encoded before rows are passed on.
+#: Characters of texts that are encoded before rows are passed on.
 PORTION = 512 << 10
 
 Batches = Iterator[pa.RecordBatch]
-#: Ids, the same as decimal text, and as decoded text.
-Entry = tuple[tuple[int, ...], str, str]
-#: Start and end in the text, and what is there.
-Unit = tuple[int, int, Entry]
 
-_NOTHING: Entry = ((), "", "")
+
+class Tokens(NamedTuple):
+    """Ids with the places in the text where each starts and ends."""
+
+    ids: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def part(self, first: int, last: int) -> Tokens:
+        return Tokens(self.ids[first:last], self.starts[first:last], self.ends[first:last])
+
+
+def _after_each_other(*parts: Tokens) -> Tokens:
+    return Tokens(*(np.concatenate(columns) for columns in zip(*parts)))
 
 
 class Codec:
@@ -64,6 +66,8 @@ class Codec:
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
         with open(path, encoding="utf-8") as file:
             settings = json.load(file)
         if '"Removed"' not in json.dumps(settings["pre_tokenizer"]) or any(" " in t["content"] for t in settings["added_tokens"]):
@@ -72,55 +76,35 @@ class Codec:
         self.plain = settings["decoder"] is None
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.token = [self.library.id_to_token(i) or "" for i in range(size)]
-        self.known: dict[str, Entry] = {"": _NOTHING}
-
-    def entry(self, ids: list[int]) -> Entry:
-        return tuple(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]) if self.plain else ""
+        self.decimal = [str(i) for i in range(size)]
 
     def decode(self, ids: list[int]) -> str:
+        if self.plain:
+            return " ".join(map(self.token.__getitem__, ids))
         return self.library.decode(ids, skip_special_tokens=False)
 
-    def learn(self, stretches: set[str]) -> None:
-        """Encode those stretches that are not remembered yet."""
-        new = list(stretches - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": _NOTHING}
-            new = list(stretches)
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i: i + AT_ONCE]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, (self.entry(e.ids) for e in found)))
-
-    def leaf_units(self, start: int, text: str) -> list[Unit]:
-        """Units of a leaf whose first character has the place ``start`` in the text."""
-        parts = text.split(" ")
-        self.learn({p for p in parts if len(p) <= LONG})
-        units: list[Unit] = []
-        for part in parts:
-            end = start + len(part)
-            if len(part) > LONG:
-                found = self.library.encode(part, add_special_tokens=False)
-                units.extend((start + a, start + b, self.entry([i])) for i, (a, b) in zip(found.ids, found.offsets))
-            elif (entry := self.known[part])[0]:
-                units.append((start, end, entry))
-            start = end + 1
-        return units
-
-    def join(self, text: str, left: list[Unit], right: list[Unit], start: int, cut: int, end: int) -> list[Unit]:
-        """Units of ``text[start:end]`` from those of its halves around ``cut``."""
+    def tokens(self, start: int, text: str) -> Tokens:
+        """Tokens of a part whose first character has the place ``start`` in the text."""
+        return self.placed(start, self.library.encode(text, add_special_tokens=False))
+
+    @staticmethod
+    def placed(start: int, found) -> Tokens:
+        places = np.array(found.offsets, np.int64).reshape(-1, 2) + start
+        return Tokens(np.array(found.ids, np.int64), places[:, 0], places[:, 1])
+
+    def join(self, text: str, left: Tokens, right: Tokens, start: int, cut: int, end: int) -> Tokens:
+        """Tokens of ``text[start:end]`` from those of its halves around ``cut``."""
         reach = REACH
         while True:
             low, high = max(start, cut - reach), min(end, cut + reach)
-            window = self.leaf_units(low, text[low:high])
-            head = (0, 0) if low == start else _agreed(window, left, range(1, len(window) - AGREE + 1))
-            tail = (len(window), len(right)) if high == end else _agreed(window, right, range(len(window) - AGREE - 1, -1, -1))
-            if head is not None and tail is not None:
-                past = 0 if high == end else AGREE
-                if head[0] <= tail[0] + past:
-                    return left[: head[1]] + window[head[0]: tail[0] + past] + right[tail[1] + past:]
+            window = self.tokens(low, text[low:high])
+            head = (0, 0) if low == start else _agreed(text, window, left, last=False)
+            tail = (len(window.ids), len(right.ids)) if high == end else _agreed(text, window, right, last=True)
+            if head is not None and tail is not None and head[0] <= tail[0]:
+                return _after_each_other(left.part(0, head[1]), window.part(head[0], tail[0]), right.part(tail[1], len(right.ids)))
             reach *= 2
 
-    def tree(self, text: str, cuts: list[int], leaves: list[list[Unit]]) -> list[Unit]:
+    def tree(self, text: str, cuts: list[int], leaves: list[Tokens]) -> Tokens:
         """Join neighbours, level by level, until one node holds the whole text."""
         while len(leaves) > 1:
             joined = [
@@ -129,25 +113,22 @@ class Codec:
             leaves, cuts = joined, cuts[::2]
         return leaves[0]
 
-    def encode(self, text: str, leaf: int = LEAF) -> list[Entry]:
-        """Entries of the whole text in order. A text of one leaf needs no places."""
-        if len(text) <= leaf:
-            parts = text.split(" ")
-            if max(map(len, parts)) <= LONG:
-                if not all(map(self.known.__contains__, parts)):
-                    self.learn(set(parts))
-                return [e for e in map(self.known.__getitem__, parts) if e[0]]
-        cuts = leaf_cuts(len(text), leaf)
-        leaves = [self.leaf_units(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return [u[2] for u in self.tree(text, cuts, leaves)]
-
-    def result(self, entries: list[Entry], full: bool) -> list:
-        ids_text = " ".join([e[1] for e in entries])
-        ids = [i for e in entries for i in e[0]] if full or not self.plain else []
-        decoded = " ".join([e[2] for e in entries]) if self.plain else self.decode(ids)
-        n = sum([len(e[0]) for e in entries])
-        row = [n, hashlib.sha256(ids_text.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-        return [*row, ids, decoded] if full else row
+    def encode(self, texts: list[str], leaf: int = LEAF) -> list[list[int]]:
+        """Ids of each text. The leaves of all texts are encoded in one call of the library."""
+        whole = self.library.encode_batch_fast([t if len(t) <= leaf else "" for t in texts], add_special_tokens=False)
+        out = [e.ids for e in whole]
+        cuts = {i: leaf_cuts(len(t), leaf) for i, t in enumerate(texts) if len(t) > leaf}
+        parts = [texts[i][a:b] for i, at in cuts.items() for a, b in zip(at, at[1:])]
+        found = iter(self.library.encode_batch(parts, add_special_tokens=False))
+        for i, at in cuts.items():
+            leaves = [self.placed(a, next(found)) for a in at[:-1]]
+            out[i] = self.tree(texts[i], at, leaves).ids.tolist()
+        return out
+
+    def result(self, ids: list[int], full: bool) -> list:
+        decoded = self.decode(ids)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(self.decimal.__getitem__, ids)), decoded)]
+        return [len(ids), *digests, *((ids, decoded) if full else ())]
 
 
 def leaf_cuts(length: int, leaf: int) -> list[int]:
@@ -158,18 +139,24 @@ def leaf_cuts(length: int, leaf: int) -> list[int]:
     return [length * i // parts for i in range(parts + 1)]
 
 
-def _agreed(window: list[Unit], half: list[Unit], places: range) -> tuple[int, int] | None:
-    """Where, first in the order of ``places``, a run of equal units begins in window and half.
-
-    The units of a run lie one after the other, so that parts of one character's
-    token sequence are never taken for a run.
-    """
-    for w in places:
-        at = bisect_left(half, window[w][0], key=lambda u: u[0])
-        run = window[w: w + AGREE]
-        if run == half[at: at + AGREE] and all(a[1] <= b[0] for a, b in zip(run, run[1:])):
-            return w, at
-    return None
+def _agreed(text: str, window: Tokens, half: Tokens, last: bool) -> tuple[int, int] | None:
+    """Where, first or last in the window, window and half go on alike: the place in each."""
+    if not len(window.ids) or not len(half.ids):
+        return None
+    at = np.minimum(np.searchsorted(half.starts, window.starts), len(half.ids) - 1)
+    same = (half.ids[at] == window.ids) & (half.starts[at] == window.starts) & (half.ends[at] == window.ends)
+    # Tokens that follow each other in both; parts of one character share a place and are never taken for a run.
+    pair = same[1:] & same[:-1] & (np.diff(at) == 1) & (window.starts[1:] >= window.ends[:-1])
+    gaps = np.flatnonzero(pair & (window.starts[1:] > window.ends[:-1])) + 1
+    gaps = [int(g) for g in gaps if text[window.starts[g] - 1] == " "]
+    sums = np.concatenate([[0], np.cumsum(pair)])
+    ahead = sums[AGREE - 1:]
+    runs = np.flatnonzero(ahead - sums[: len(ahead)] == AGREE - 1) + AGREE // 2
+    found = [*gaps, *(int(r) for r in runs)]
+    if not found:
+        return None
+    w = max(found) if last else min(found)
+    return w, int(at[w])
 
 
 _codecs: dict[str, Codec] = {}
@@ -198,17 +185,14 @@ def _short(path: str, leaf: int, full: bool) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         codec = _codec(path)
         for batch in batches:
-            texts, first = batch.column("text").to_pylist(), 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and size < PORTION:
-                    size += len(texts[last] or "")
-                    last += 1
-                held = [t or "" for t in texts[first:last]]
-                codec.learn({p for t in held for p in t.split(" ") if len(p) <= LONG})
-                results = [codec.result(codec.encode(t, leaf), full) for t in held]
-                yield _with_results([batch.column("id").slice(first, last - first)], ["id"], results, full)
-                first = last
+            first, size, held = 0, 0, []
+            for i, text in enumerate(batch.column("text")):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size >= PORTION or i + 1 == len(batch):
+                    results = [codec.result(ids, full) for ids in codec.encode(held, leaf)]
+                    yield _with_results([batch.column("id").slice(first, len(held))], ["id"], results, full)
+                    first, size, held = i + 1, 0, []
 
     return run
 
@@ -234,14 +218,10 @@ def _encoded_leaves(path: str) -> Callable[[Batches], Batches]:
         codec = _codec(path)
         for batch in batches:
             for i, (start, text) in enumerate(zip(batch.column("start").to_pylist(), batch.column("text").to_pylist())):
-                units = codec.leaf_units(start, text)
-                columns = [[[u[0] for u in units]], [[u[1] for u in units]], [[u[2][0] for u in units]]]
-                types = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]
+                found = codec.tokens(start, text)
+                columns = [pa.array([c], pa.list_(pa.int64())) for c in found]
                 row = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [*row.columns, *(pa.array(c, t) for c, t in zip(columns, types))],
-                    names=[*row.schema.names, "starts", "ends", "ids"],
-                )
+                yield pa.RecordBatch.from_arrays([*row.columns, *columns], names=[*row.schema.names, "ids", "starts", "ends"])
 
     return run
 
@@ -253,9 +233,9 @@ def _joined(path: str, full: bool) -> Callable[[pa.Table], pa.Table]:
         copies = sum(r["leaf"] == 0 for r in rows)
         rows = rows[::copies]
         text = "".join(r["text"] for r in rows)
-        units = [[(a, b, codec.entry(ids)) for a, b, ids in zip(r["starts"], r["ends"], r["ids"])] for r in rows]
+        leaves = [Tokens(*(np.array(r[c], np.int64) for c in Tokens._fields)) for r in rows]
         cuts = [*(r["start"] for r in rows), len(text)]
-        result = codec.result([u[2] for u in codec.tree(text, cuts, units)], full)
+        result = codec.result(codec.tree(text, cuts, leaves).ids.tolist(), full)
         ids = group.column("id").combine_chunks().slice(0, 1)
         batch = _with_results([ids], ["id"], [result], full)
         return pa.Table.from_batches([batch] * copies)
@@ -285,7 +265,7 @@ def encode_decode(
     leaf_rows = f"id {id_type}, hash bigint, leaf int, start bigint, text string"
     leaves = given.where(is_long).mapInArrow(_leaves(leaf), leaf_rows).repartition("id", "hash", "leaf")
     units = leaves.mapInArrow(
-        _encoded_leaves(path), f"{leaf_rows}, starts array<bigint>, ends array<bigint>, ids array<array<int>>"
+        _encoded_leaves(path), f"{leaf_rows}, ids array<bigint>, starts array<bigint>, ends array<bigint>"
     )
     # A group is one document.
     return short.union(units.groupBy("id", "hash").applyInArrow(_joined(path, full), result))

@@ -1,6 +1,7 @@
 """Tree concatenation gives the library's ids, wherever the cuts fall."""
 
 import hashlib
+import os
 import random
 
 import public_tokenizers
@@ -8,8 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmap.llm import bpe
+from quillmap.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+SF_DIR = os.environ.get("QUILLMAP_SF_DIR", "/root/testdata/sf0.001")
 PIECES = ["a", "b", "é", "é", "'", "'s", "'re", " ", "  ", "\n", "!", "!!!", "1", "23", "<|endoftext|>", "<|endof", "text|>",
           "ß", "İ", "Σ", "x" * 20, "the", "̣́", "中", "한", "ᄀ", "ᅡ", "🙂", " ", "가"]
 
@@ -23,27 +26,17 @@ def test_cuts_anywhere(monkeypatch, blanks):
         pool = [p for p in pool if blanks or not p.isspace()] or ["q"]
         text = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 300)))
         monkeypatch.setattr(bpe, "REACH", rnd.choice([4, 16, 64]))
-        monkeypatch.setattr(bpe, "LONG", rnd.choice([8, 64]))
-        codec.known = {"": bpe._NOTHING}
         want = codec.library.encode(text, add_special_tokens=False).ids
-        entries = codec.encode(text, leaf=rnd.choice([7, 16, 50]))
-        assert [i for e in entries for i in e[0]] == want
-        assert codec.result(entries, True)[4] == codec.decode(want)
+        got = codec.encode(["", text, "short"], leaf=rnd.choice([7, 16, 50]))[1]
+        assert got == want
+        assert codec.result(got, True)[3:] == [want, codec.library.decode(want, skip_special_tokens=False)]
 
 
 def test_one_long_stretch_without_a_break():
     codec = bpe.Codec(PATH)
     rnd = random.Random(2)
     for text in ("a" * 30_000, "".join(rnd.choice("abcdefgh") for _ in range(40_000)), "ab" * 20_000):
-        entries = codec.encode(text, leaf=1000)
-        assert [i for e in entries for i in e[0]] == codec.library.encode(text, add_special_tokens=False).ids
-
-
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
-    codec = bpe.Codec(PATH)
-    text = "one two three four five six one two"
-    assert [i for e in codec.encode(text) for i in e[0]] == codec.library.encode(text, add_special_tokens=False).ids
+        assert codec.encode([text], leaf=1000)[0] == codec.library.encode(text, add_special_tokens=False).ids
 
 
 def test_rows_short_and_spread(spark):
@@ -67,3 +60,16 @@ def test_rows_short_and_spread(spark):
 def test_vocabulary_over_blanks_is_refused():
     with pytest.raises(ValueError):
         bpe.Codec(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables not found")
+def test_query(spark):
+    library = bpe.Codec(PATH).library
+    want = []
+    for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        want.append((r.doc_id, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), text))))
+    df = QUERIES["op3_bpe"](spark, SF_DIR)
+    assert df.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
