@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
-from quillmap.functions.arrays import let
-from quillmap.sources.documents import SNAPSHOT_SCHEMA, parse_json, strict_json
+from quillmap.plans.joins import number_rows
+from quillmap.sources.documents import FILE_SCHEMA
+from quillmap.sources.json_elements import JsonDocuments, read_json
 
 MALFORMED = "index is not valid JSON"
 _TOP_LEVEL = [
@@ -28,94 +29,92 @@ _PER_FILE = [
 ]
 
 
-def _kind(value: Column) -> Column:
-    """``OBJECT``, ``ARRAY``, ``STRING``, a number type, ``VOID``; NULL when missing."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def _is(kinds: Column, name: str, kind: str) -> Column:
+    return F.coalesce(F.element_at(kinds, name) == kind, F.lit(False))
 
 
-def _field(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
-def _is(value: Column, kind: str) -> Column:
-    return F.coalesce(_kind(value) == kind, F.lit(False))
-
-
-def _as_text(value: Column) -> Column:
-    kind = _kind(value)
-    return (
+def _version_problem(listed: Column) -> Column:
+    """``listed`` is the text of a version that is an array."""
+    text, kind = F.element_at("texts", "schemaVersion"), F.element_at("kinds", "schemaVersion")
+    right = (kind == "NUMBER") & (text.try_cast("double") == fx.SNAPSHOT_VERSION)
+    shown = (
         F.when(kind.isNull(), "undefined")
-        .when(kind == "VOID", "null")
         .when(kind == "OBJECT", "[object Object]")
-        .when(
-            kind == "ARRAY",
-            F.array_join(F.try_variant_get(value, "$", "array<string>"), ",", ""),
-        )
-        .otherwise(F.try_variant_get(value, "$", "string"))
+        .when(kind == "ARRAY", F.coalesce(listed, F.lit("")))
+        .otherwise(text)
     )
+    expected = F.lit(f"schemaVersion mismatch: expected {fx.SNAPSHOT_VERSION}, got ")
+    return F.when(~F.coalesce(right, F.lit(False)), F.concat(expected, shown))
 
 
-def _version_problem(doc: Column) -> Column:
-    version = _field(doc, "schemaVersion")
-    right = _kind(version).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & (
-        F.try_variant_get(version, "$", "double") == fx.SNAPSHOT_VERSION
-    )
-    text = F.concat(
-        F.lit(f"schemaVersion mismatch: expected {fx.SNAPSHOT_VERSION}, got "), _as_text(version)
+def _head_problems(listed: Column) -> Column:
+    top = [_version_problem(listed)] + [
+        F.when(~_is(F.col("kinds"), name, kind), F.lit(f"{name} must be {what}")) for name, kind, what in _TOP_LEVEL
+    ]
+    return (
+        F.when(F.col("kind").isNull(), F.array(F.lit(MALFORMED)))
+        .when(F.col("kind") == "OBJECT", F.array_compact(F.array(*top)))
+        .otherwise(F.array(F.lit("index is not an object")))
     )
-    return F.when(~F.coalesce(right, F.lit(False)), text)
 
 
-def _file_problems(file: Column, i: Column) -> Column:
-    at = F.concat(F.lit("files["), i.cast("string"), F.lit("]"))
+def _file_problems() -> Column:
+    at = F.concat(F.lit("files["), F.col("at").cast("string"), F.lit("]"))
     checks = [
-        F.when(~_is(_field(file, name), kind), F.concat(at, F.lit(f".{name} must be {text}")))
+        F.when(~_is(F.col("kinds"), name, kind), F.concat(at, F.lit(f".{name} must be {text}")))
         for name, kind, text in _PER_FILE
     ]
-    return F.when(_is(file, "OBJECT"), F.array_compact(F.array(*checks))).otherwise(
+    return F.when(F.col("kind") == "OBJECT", F.array_compact(F.array(*checks))).otherwise(
         F.array(F.concat(at, F.lit(" is not an object")))
     )
 
 
-def problems(text: Column) -> Column:
-    """Problems of one document in order; an empty array means valid."""
-    return let(strict_json(text), _document_problems)
+def _under(elements: DataFrame, *path: str) -> DataFrame:
+    return elements.filter(F.col("path") == F.array(*map(F.lit, path)))
 
 
-def _document_problems(doc: Column) -> Column:
-    top = [_version_problem(doc)] + [
-        F.when(~_is(_field(doc, name), kind), F.lit(f"{name} must be {what}"))
-        for name, kind, what in _TOP_LEVEL
-    ]
-    files = F.coalesce(
-        F.try_variant_get(doc, "$.files", "array<variant>"), F.array().cast("array<variant>")
-    )
-    found = F.concat(
-        F.array_compact(F.array(*top)), F.flatten(F.transform(files, _file_problems))
-    )
-    return (
-        F.when(doc.isNull(), F.array(F.lit(MALFORMED)))
-        .when(_is(doc, "OBJECT"), found)
-        .otherwise(F.array(F.lit("index is not an object")))
-    )
+def _versions(elements: DataFrame) -> DataFrame:
+    """Versions that are arrays, as text; they have few elements in any document that is meant as one."""
+    scalar = F.when(F.col("kind") == "STRING", F.get_json_object(F.concat(F.lit("["), "element", F.lit("]")), "$[0]"))
+    shown = F.when(F.col("kind") == "NULL", "").otherwise(F.coalesce(scalar, F.trim("element")))
+    rows = _under(elements, "schemaVersion").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", shown.alias("text")))).alias("rows"))
+    return rows.select("doc", F.array_join(F.transform("rows", lambda r: r["text"]), ",").alias("listed"))
+
+
+def _problems(found: JsonDocuments) -> tuple[DataFrame, DataFrame]:
+    """Problems of heads, as one array per document, and those of files, as one array per file that has any."""
+    heads = found.heads.join(_versions(found.elements), "doc", "left")
+    tops = heads.select("repo", "doc", _head_problems(F.col("listed")).alias("problems"))
+    files = _under(found.elements, "files").select("repo", "doc", "at", _file_problems().alias("problems"))
+    return tops, files.filter(F.size("problems") > 0)
 
 
 def snapshot_problems(documents: DataFrame) -> DataFrame:
-    """``repo, value`` to one row per problem, numbered from 0 in report order."""
-    return documents.select("repo", F.posexplode(problems(F.col("value"))).alias("pos", "problem"))
+    """``repo, value`` to one row per problem, numbered from 0 in report order. Files are rows of their own
+    throughout, so a document may have any number of them."""
+    tops, files = _problems(read_json(documents))
+    first = tops.select("repo", "doc", F.posexplode("problems").alias("pos", "problem"))
+    rows = files.select("repo", "doc", "at", F.posexplode("problems").alias("nth", "problem"))
+    numbered = number_rows(rows.withColumn("place", F.col("at") * (len(_PER_FILE) + 1) + F.col("nth")), ["doc"], "place", "n")
+    after = numbered.join(tops.select("doc", F.size("problems").alias("before")), "doc")
+    later = after.select("repo", (F.col("before") + F.col("n") - 1).cast("int").alias("pos"), "problem")
+    return first.select("repo", "pos", "problem").unionByName(later)
 
 
 def read_snapshots(documents: DataFrame) -> DataFrame:
-    """Parsed documents without problems; all others count as absent."""
-    checked = documents.select("repo", "value", problems(F.col("value")).alias("problems"))
-    return checked.filter(F.size("problems") == 0).select(
-        "repo", parse_json(F.col("value"), SNAPSHOT_SCHEMA).alias("snapshot")
-    )
+    """Documents without problems as rows: ``repo, path, at, element``, one for each element of their lists, with the
+    keys that lead to the list; all other documents count as absent."""
+    found = read_json(documents)
+    tops, files = _problems(found)
+    bad = tops.filter(F.size("problems") > 0).select("doc").unionByName(files.select("doc")).distinct()
+    return found.elements.join(bad, "doc", "left_anti").select("repo", "path", "at", "element")
 
 
 def snapshot_files(snapshots: DataFrame) -> DataFrame:
-    """File rows of parsed snapshots, in the shape of a file index."""
-    return snapshots.select("repo", F.inline("snapshot.files")).select(
+    """File rows of read snapshots, in the shape of a file index."""
+    file = F.from_json("element", FILE_SCHEMA, {"allowSingleQuotes": "false"})
+    rows = _under(snapshots, "files").select("repo", file.alias("file")).select("repo", "file.*")
+    return rows.select(
         "repo", "path", "lang", "hash", "purpose",
         F.coalesce("purposeStale", F.lit(False)).alias("purpose_stale"), "exports", "imports",
     )

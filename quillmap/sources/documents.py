@@ -10,20 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
-from quillmap.functions.arrays import let
 from quillmap.functions.text import is_blank, trim
+from quillmap.sources.json_elements import is_json, read_json
 
-SNAPSHOT_SCHEMA = (
-    "struct<schemaVersion:bigint,generatedAt:string,root:string,stack:array<string>,"
-    "stats:struct<files:bigint,indexedFiles:bigint,loc:bigint>,"
-    "files:array<struct<path:string,hash:string,lang:string,purpose:string,"
-    "purposeStale:boolean,exports:array<struct<name:string,kind:string>>,imports:array<string>>>,"
-    "routes:array<struct<framework:string,method:string,path:string,file:string>>,"
-    "components:array<struct<name:string,file:string,props:array<string>,client:boolean,"
-    "hooks:array<string>>>,"
-    "db:struct<postgres:array<struct<table:string,columns:array<string>,source:string>>,"
-    "prisma:array<struct<model:string,fields:array<string>>>,"
-    "mongo:array<struct<collection:string,fields:array<string>>>>>"
+FILE_SCHEMA = (
+    "struct<path:string,hash:string,lang:string,purpose:string,purposeStale:boolean,"
+    "exports:array<struct<name:string,kind:string>>,imports:array<string>>"
 )
 CONFIG_SCHEMA = (
     "struct<contextBudget:bigint,ignore:array<string>,extractors:map<string,boolean>,"
@@ -36,24 +28,9 @@ TASK_SCHEMA = (
 _FRONT = r"\A---[ \t]*\r?\n(?:([\s\S]*?)\r?\n)??---[ \t]*(?:\r?\n|\z)"
 
 
-def strict_json(text: Column) -> Column:
-    """VARIANT of a JSON text that holds exactly one value, else NULL."""
-
-    def only(wrapped: Column) -> Column:
-        second = F.try_variant_get(wrapped, "$[1]", "variant")
-        return F.when(second.isNull(), F.try_variant_get(wrapped, "$[0]", "variant"))
-
-    # A text that closes the added bracket itself cannot close an added brace too.
-    braced = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return let(
-        F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))),
-        lambda wrapped: F.when(braced.isNotNull(), only(wrapped)),
-    )
-
-
 def parse_json(text: Column, schema: str) -> Column:
     parsed = F.from_json(text, schema, {"allowSingleQuotes": "false"})
-    return F.when(strict_json(text).isNotNull(), parsed)
+    return F.when(is_json(text), parsed)
 
 
 def front_matter(text: Column) -> Column:
@@ -126,12 +103,11 @@ def config_or_default(repos: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def read_tasks(documents: DataFrame) -> DataFrame:
-    """``repo, text`` to one row per task; anything but an array gives no rows."""
-    is_array = F.rlike(F.col("text"), F.lit(r"^\s*\["))
-    rows = documents.filter(is_array).select(
-        "repo", parse_json(F.col("text"), f"array<{TASK_SCHEMA}>").alias("tasks")
-    )
-    return rows.select("repo", F.inline("tasks")).select(
+    """``repo, text`` to one row per task. Anything but an array gives no rows, nor do its elements
+    that are no objects; each element is parsed by itself."""
+    found = read_json(documents, "text").elements.filter((F.size("path") == 0) & (F.col("kind") == "OBJECT"))
+    task = F.from_json("element", TASK_SCHEMA, {"allowSingleQuotes": "false"})
+    return found.select("repo", task.alias("task")).select("repo", "task.*").select(
         "repo",
         F.col("id"),
         F.col("title"),

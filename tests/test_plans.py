@@ -10,7 +10,8 @@ from quillmap.plans import bundle, export
 from quillmap.plans.index import build_index, current_hashes, write_snapshot
 from quillmap.plans.joins import first_per_key, join_by_repo, number_rows
 from quillmap.plans.storage import fresh_folder
-from quillmap.sources.documents import document_body, front_matter, strict_json
+from quillmap.sources.documents import document_body, front_matter
+from quillmap.sources.json_elements import is_json
 from quillmap.sources.files import list_repo_files, read_listed_files, read_repo_files, source_files
 
 FILE = "repo string, path string, content string"
@@ -273,5 +274,5 @@ def test_documents(spark):
     assert apply(spark, texts, document_body) == ["body\n", "no front\n---\n", "z", "z"]
     docs = ["{}", "[1]", "{} x", "{},{}", "", "{'a':1}", '"s"', "null"]
     docs += ['{"a":1}] trailing', '{"a":1}],[{"b":2}', "1] x", "[1]]", "1}", "[[]]"]
-    ok = apply(spark, docs, lambda c: strict_json(c).isNotNull())
+    ok = apply(spark, docs, is_json)
     assert ok == [True, True, False, False, False, False, True, True, False, False, False, False, False, True]
