@@ -310,13 +310,17 @@ def manifest_text(kind: str, key: str) -> str:
     return case_sql(kind, {str(i): text_sql(m, k=key) for i, m in enumerate(MANIFESTS)})
 
 
-IGNORE_LINES = "# made up\n\n/build<<k>>/\nlogs\n*.gen.ts\n!keep.ts\n/deep/**/tmp\na?c.ts\n{x,y}.ts\n"
+IGNORE_LINES = "# made up\n\n/build<<k>>/\nlogs\n*.gen.ts\n!keep.ts\n/deep/**/tmp\na?c.ts\n{x,y}.ts\n*.py[cod]\n[Bb]in/\nsrc/{a,b}/**\n@(p|q).ts\n"
 IGNORE_PATHS = [
     "build<<k>>/a.ts", "src/build<<k>>/a.ts", "src/logs/a.ts", "logs.ts", "src/a.gen.ts",
     "keep.ts", "deep/x/y/tmp/a.ts", "deep/tmp", "x/deep/tmp/a.ts", "src/abc.ts", "src/abbc.ts",
     "x.ts", "user/gen/a.ts", "root.user.ts", "src/root.user.ts",
+    "m/x.pyc", "m/x.py", "src/Bin/q.ts", "src/a/z.ts", "src/c/z.ts", "p.ts",
+]
+IGNORE_HIT = [
+    True, False, True, False, True, False, True, True, False, True, False, True, True, True, False,
+    True, False, True, True, False, False,
 ]
-IGNORE_HIT = [True, False, True, False, True, False, True, True, False, True, False, False, True, True, False]
 
 _CONV_TS = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '7' HOUR * turn"
 _FIRST_LINE = "split_part(text, chr(10), 1)"

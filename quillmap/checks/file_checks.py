@@ -279,14 +279,14 @@ def ignored_paths_dropped(spark: SparkSession, sf: str) -> DataFrame:
     union_all([
         f"SELECT s_name AS repo, {d.text_sql(g, k=_KEY)} AS glob FROM supplier"
         for g in ["build<<k>>", "**/logs", "**/*.gen.ts", "deep/**/tmp", "**/a?c.ts",
-                  "**/{x,y}.ts", "user/**", "*.user.ts"]
+                  "**/{x,y}.ts", "**/*.py[cod]", "**/[Bb]in", "**/src/{a,b}/**", "**/@(p|q).ts", "user/**", "*.user.ts"]
     ]),
 )
 def ignore_globs(spark: SparkSession, sf: str) -> DataFrame:
     return _supplier_globs(spark, sf).select("repo", F.explode("globs").alias("glob"))
 
 
-@query("rejected_globs", "SELECT s_name AS repo, '**/{x,y}.ts' AS glob FROM supplier")
+@query("rejected_globs", "SELECT s_name AS repo, '**/@(p|q).ts' AS glob FROM supplier")
 def rejected_globs(spark: SparkSession, sf: str) -> DataFrame:
     return ignore.rejected_globs(_supplier_globs(spark, sf))
 
