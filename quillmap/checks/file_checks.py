@@ -15,6 +15,7 @@ from quillmap.operators.extract.routes import app_url, below_src, pages_url
 from quillmap.plans.storage import fresh_folder
 from quillmap.sources import documents as docs
 from quillmap.sources.files import read_repo_files, source_files
+from quillmap.sources.repo_source import register
 
 TRIM_SET = f"'{fx.JS_WHITESPACE}'"
 DIR_SQL = (
@@ -24,17 +25,23 @@ DIR_SQL = (
 
 
 # --- sources -----------------------------------------------------------------
+def _tree(spark: SparkSession, sf: str) -> str:
+    """A folder with one repository per nation and a file per supplier."""
+    root = fresh_folder(spark, "tree")
+    d.run_sql(
+        spark, sf,
+        "SELECT 'org' || CAST(s_nationkey AS STRING) AS org, s_suppkey, s_name AS value FROM supplier",
+    ).repartition("org", "s_suppkey").write.partitionBy("org", "s_suppkey").text(root)
+    return root
+
+
 @query(
     "read_repo_files",
     "SELECT 'org' || CAST(s_nationkey AS STRING) AS repo, s_suppkey, s_name || chr(10) AS content "
     "FROM supplier",
 )
 def read_files(spark: SparkSession, sf: str) -> DataFrame:
-    root = fresh_folder(spark, "tree")
-    d.run_sql(
-        spark, sf,
-        "SELECT 'org' || CAST(s_nationkey AS STRING) AS org, s_suppkey, s_name AS value FROM supplier",
-    ).repartition("org", "s_suppkey").write.partitionBy("org", "s_suppkey").text(root)
+    root = _tree(spark, sf)
     orgs = d.run_sql(
         spark, sf, "SELECT DISTINCT 'org' || CAST(s_nationkey AS STRING) AS repo FROM supplier"
     )
@@ -43,6 +50,26 @@ def read_files(spark: SparkSession, sf: str) -> DataFrame:
     return files.filter(key != "").select("repo", key.cast("bigint").alias("s_suppkey"), "content")
 
 
+@query(
+    "read_repo_source",
+    "SELECT 'org' || CAST(s_nationkey AS STRING) AS repo, s_suppkey, s_name || chr(10) AS content "
+    "FROM supplier WHERE s_nationkey <> 7 AND CAST(s_suppkey AS STRING) LIKE '1%'",
+)
+def read_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Path and repository filters reach the data source."""
+    register(spark)
+    reader = spark.read.format("repo_files").option("splits", "2")
+    root = _tree(spark, sf)
+    nations = d.run_sql(spark, sf, "SELECT DISTINCT s_nationkey AS k FROM supplier").collect()  # at most 25
+    for n in nations:
+        reader = reader.option(f"repo.org{n.k}", f"{root}/org=org{n.k}")
+    files = reader.load().filter(
+        F.startswith("path", F.lit("s_suppkey=1")) & F.endswith("path", F.lit(".txt")) & (F.col("repo") != "org7")
+    )
+    key = F.regexp_extract("path", r"^s_suppkey=(\d+)/part-[^/]*\.txt\z", 1)
+    return files.filter(key != "").select("repo", key.cast("bigint").alias("s_suppkey"), "content")
+
+
 @query(
     "front_matter",
     "SELECT repo, turn, split_part(role_line, ':', 2) AS role, '10:20:30' AS at, body FROM ("

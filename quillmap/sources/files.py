@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
-from pyarrow.fs import FileSelector, FileSystem, FileType
+from pyarrow.fs import FileInfo, FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
 from quillmap.functions.text import forward_slashes
+from quillmap.plans.storage import materialize
 
 _ANY_DIRECTORY = "|".join(d.replace(".", r"\.") for d in fx.IGNORED_DIRECTORIES)
 _KEPT_EXTENSION = rf"\.(?:{'|'.join(fx.SOURCE_EXTENSIONS)})\z"
@@ -28,43 +31,85 @@ _BATCH_BYTES = 32 * 1024 * 1024
 PRUNED = [d for d in fx.IGNORED_DIRECTORIES if d != fx.STATE_DIRECTORY]
 
 
-def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED) -> DataFrame:
+#: Directories that a task lists before it hands those it has still to enter over to others.
+SHARE = 2_000
+
+_LEVEL = f"{_LISTED}, directory string"
+
+
+def list_directory(fs: FileSystem, directory: str, pruned: Collection[str]) -> tuple[list[FileInfo], list[str]]:
+    """Files of a directory and the directories in it that are to be entered. Links are neither."""
+    entries = fs.get_file_info(FileSelector(directory))
+    if isinstance(fs, LocalFileSystem):
+        entries = [e for e in entries if not os.path.islink(e.path)]
+    files = [e for e in entries if e.type == FileType.File]
+    return files, [e.path for e in entries if e.type == FileType.Directory and e.base_name not in pruned]
+
+
+def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED, share: int = SHARE) -> DataFrame:
     """``repo, root`` to one row per file: ``repo, path, root, file, mtime``.
 
     Spark's own file sources leave out empty files and all names that start
     with a dot or an underscore, so ignore files and files such as ``_app.tsx``
-    would be missing. Here tasks walk the trees themselves, one directory at a
-    time, on any file system that Arrow can open. Directories named in ``pruned`` are
-    not entered, at any depth.
+    would be missing. Here tasks list the directories themselves, on any file system that Arrow
+    can open. Directories named in ``pruned`` are not entered, at any depth, and links are not followed.
+
+    The frontier of pending directories is a table: each task lists up to ``share`` directories of its part and
+    what is below them, and hands the rest over, which is written and dealt out again. So one huge tree is listed by
+    all tasks, and small ones in one pass. There are as many passes as the largest tree needs.
 
     Only ``root`` is a URI; ``file`` is the plain path on its file system, so names
     may hold brackets, blanks or any other character.
     """
     skipped = frozenset(pruned)
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, tuple[FileSystem, str]] = {}
+        left = share
         for batch in batches:
             for row in batch.to_pylist():
-                fs, top = _open(row["root"])
-                top = top.rstrip("/")
-                pending = [top or "/"]
-                while pending:
-                    entries = fs.get_file_info(FileSelector(pending.pop()))
-                    pending += [e.path for e in entries if e.type == FileType.Directory and e.base_name not in skipped]
-                    files = [e for e in entries if e.type == FileType.File]
-                    yield pa.record_batch(
-                        [
-                            pa.array([row["repo"]] * len(files), pa.string()),
-                            pa.array([e.path[len(top) :].lstrip("/") for e in files], pa.string()),
-                            pa.array([row["root"]] * len(files), pa.string()),
-                            pa.array([e.path for e in files], pa.string()),
-                            pa.array([e.mtime for e in files], pa.timestamp("us", "UTC")),
-                        ],
-                        ["repo", "path", "root", "file", "mtime"],
-                    )
-
-    listed = repos.select("repo", "root").mapInArrow(walk, _LISTED)
-    return listed.withColumn("path", forward_slashes(F.col("path")))
+                if row["root"] not in opened:
+                    fs, top = _open(row["root"])
+                    opened[row["root"]] = fs, top.rstrip("/")
+                fs, top = opened[row["root"]]
+                pending = [row["directory"] if row["directory"] is not None else top or "/"]
+                while pending and left > 0:
+                    files, inner = list_directory(fs, pending.pop(), skipped)
+                    pending += inner
+                    left -= 1
+                    yield _listing(row, top, files)
+                yield _handed_over(row, pending)
+
+    frontier = repos.select("repo", "root", F.lit(None).cast("string").alias("directory"))
+    found = []
+    while True:
+        spread = frontier.repartition("repo", "root", "directory")
+        level = materialize(spread.mapInArrow(expand, _LEVEL), "listed-files")
+        found.append(level.filter(F.col("directory").isNull()).drop("directory"))
+        frontier = level.filter(F.col("directory").isNotNull()).select("repo", "root", "directory")
+        if frontier.isEmpty():
+            break
+    return reduce(DataFrame.union, found).withColumn("path", forward_slashes(F.col("path")))
+
+
+_NAMES = ["repo", "path", "root", "file", "mtime", "directory"]
+
+
+def _listing(row: dict, top: str, files: list[FileInfo]) -> pa.RecordBatch:
+    n = len(files)
+    return pa.record_batch([
+        pa.array([row["repo"]] * n, pa.string()), pa.array([e.path[len(top):].lstrip("/") for e in files], pa.string()),
+        pa.array([row["root"]] * n, pa.string()), pa.array([e.path for e in files], pa.string()),
+        pa.array([e.mtime for e in files], pa.timestamp("us", "UTC")), pa.nulls(n, pa.string()),
+    ], _NAMES)
+
+
+def _handed_over(row: dict, directories: list[str]) -> pa.RecordBatch:
+    n = len(directories)
+    return pa.record_batch([
+        pa.array([row["repo"]] * n, pa.string()), pa.nulls(n, pa.string()), pa.array([row["root"]] * n, pa.string()),
+        pa.nulls(n, pa.string()), pa.nulls(n, pa.timestamp("us", "UTC")), pa.array(directories, pa.string()),
+    ], _NAMES)
 
 
 def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataFrame:
