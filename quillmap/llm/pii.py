@@ -4,12 +4,15 @@ Values found by pattern (email, IP address, card, phone) are protected entities.
 a term tells about an entity is estimated from co-occurrence over the corpus: with p(e) the
 share of documents that hold the entity and p(e|t) that among documents with the term,
 the disclosure of term t is its pointwise mutual information with e over the information of
-e, log(p(e|t) / p(e)) / log(1 / p(e)): 1 if only documents with e have the term near it, 0
-if the term tells nothing. Terms above a threshold are spans of their own, to be
-generalised, or removed above a second one.
+e, log(p(e|t) / p(e)) / log(1 / p(e)): 1 if only documents with e have the term, 0
+if the term tells nothing. In a document that holds e every occurrence of a term above a threshold is a span
+of its own, to be generalised, or removed above a second one.
 
-A term counts as co-occurring within ``REACH`` characters of the value, whole words only, and needs
-``SUPPORT`` different texts, so a value or a text that occurs once gives nothing to estimate.
+Terms are all words with a letter that do not touch a value, wherever they stand. A pair needs
+``SUPPORT`` different texts, so a value or a text that occurs once gives nothing to estimate. Entities, and likewise
+terms, that stand in the same texts have the same counts with anything else; they are counted as one class, so
+a text with very many values has few pairs. A term too frequent for its disclosure of an entity to reach the
+threshold in any case is not paired with it.
 
 Only column expressions and joins are used. Texts are not shuffled but by ``sanitized``,
 which has to bring texts and spans together.
@@ -17,7 +20,9 @@ which has to bring texts and spans together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmap.llm.common import fresh, hex_sha256, query, small_side, table, written
@@ -38,7 +43,9 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Kind of the spans that co-occurrence adds.
 TERM = "term"
 
-REACH = 80
+#: Matches that are put together at a time; longer lists are lists of such lists until the end.
+RUN = 64
+
 SUPPORT = 2
 GENERALISE = 0.6
 REMOVE = 0.9
@@ -71,13 +78,15 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def placed_matches(text: Column, pattern: str) -> Column:
     """``start, end, value`` of each match in order, in code points: matches and what is between add up."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zero = F.struct(
-        F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")
-    )
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def add(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
@@ -85,8 +94,19 @@ def placed_matches(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
+    def add_run(state: Column, run: Column) -> Column:
+        zero = F.struct(state["at"].alias("at"), none.alias("out"))
+        return _let(F.aggregate(run, zero, add), lambda done: F.struct(
+            done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
+
+    def placed(pairs: Column) -> Column:
+        # A list that grows by one is copied each time, so short runs are grown and then put together.
+        starts = F.sequence(F.lit(1), F.size(pairs), F.lit(RUN))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("out"))
+        return F.flatten(F.aggregate(F.transform(starts, lambda s: F.slice(pairs, s, RUN)), zero, add_run)["out"])
+
     pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.when(F.size(found) == 0, zero["out"]).otherwise(F.aggregate(pairs, zero, add)["out"])
+    return _let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(_let(pairs, placed)))
 
 
 def pattern_spans(text: Column) -> Column:
@@ -106,60 +126,68 @@ def _entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), plain)
 
 
-def _context_terms(text: Column, spans: Column) -> Column:
-    """``entity, term, start, end`` of the whole words near each span that no span overlaps."""
-
-    def near(span: Column) -> Column:
-        low = F.greatest(span["start"] - REACH, F.lit(0))
-        sides = F.array(
-            F.struct(low.alias("at"), F.substring(text, low + 1, span["start"] - low).alias("part")),
-            F.struct(span["end"].alias("at"), F.substring(text, span["end"] + 1, F.lit(REACH)).alias("part")),
-        )
-
-        def words(side: Column) -> Column:
-            size = F.length(side["part"])
-            # A word at the outer edge may be cut, one at the inner edge touches the value.
-            whole = F.filter(placed_matches(side["part"], _WORD), lambda w: (w["start"] > 0) & (w["end"] < size))
-            return F.transform(whole, lambda w: F.struct(
-                F.lower(w["value"]).alias("term"), (side["at"] + w["start"]).alias("start"), (side["at"] + w["end"]).alias("end")
-            ))
-
-        found = F.filter(F.flatten(F.transform(sides, words)), lambda w: w["term"].rlike(r"\p{L}")
-                         & ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-        return F.transform(found, lambda w: F.struct(
-            _entity(span["kind"], span["value"]).alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")
-        ))
-
-    return F.flatten(F.transform(spans, near))
-
-
-def disclosures(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """``entity, term, disclosure`` of the pairs with enough support; counts are over all of ``docs``."""
-    pairs = found.select("doc", F.explode("context").alias("c")).select("doc", "c.entity", "c.term").distinct()
-    # Copies of one text support a pair once, but count as documents.
-    joint = pairs.groupBy("entity", "term").agg(
-        F.sum("doc.copies").alias("both"), F.count(F.lit(1)).alias("support")
-    ).where(F.col("support") >= SUPPORT)
-    joint = written(joint, "term-pairs")
-    with_entity = found.select("doc", F.explode(F.array_distinct(
-        F.transform("spans", lambda s: _entity(s["kind"], s["value"])))).alias("entity")).distinct()
-    entities = with_entity.groupBy("entity").agg(F.sum("doc.copies").alias("with_entity"))
-    terms = written(joint.select("term").distinct(), "near-terms")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)))
-    every = docs.select(F.explode(words).alias("term")).join(small_side(terms), "term", "left_semi")
-    with_term = every.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = F.lit(docs.count())
-    counted = joint.join(with_term, "term").join(entities, "entity")
-    share = F.log2(F.col("both") * total / (F.col("with_entity") * F.col("with_term")))
-    known = F.log2(total / F.col("with_entity"))
-    return counted.select("entity", "term", F.when(known > 0, share / known).otherwise(F.lit(0.0)).alias("disclosure"))
+def _free_words(texts: DataFrame) -> DataFrame:
+    """``hash, start, end, term`` of all words with a letter that no value touches; ``texts`` has each text once."""
+    words = texts.select("hash", F.explode("words").alias("w")).select("hash", "w.start", "w.end", F.lower("w.value").alias("term"))
+    values = texts.select("hash", F.explode("spans").alias("s")).select("hash", "s.start", "s.end", F.lit(None).cast("string").alias("term"))
+    of_text = Window.partitionBy("hash")
+    value = F.col("term").isNull()
+    # Values come before words that start with them, and after them in the other direction.
+    earlier = of_text.orderBy("start", F.col("term").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = of_text.orderBy(F.col("start").desc(), F.col("term").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = words.unionByName(values).withColumn("reached", F.max(F.when(value, F.col("end"))).over(earlier))
+    placed = placed.withColumn("next", F.min(F.when(value, F.col("start"))).over(later))
+    free = ~value & (F.coalesce(F.col("reached"), F.lit(-1)) < F.col("start")) & F.coalesce(F.col("next") > F.col("end"), F.lit(True))
+    return placed.where(free & F.col("term").rlike(r"\p{L}")).select("hash", "start", "end", "term")
+
+
+def _classes(rows: DataFrame, name: str) -> DataFrame:
+    """Entities or terms that stand in the same texts, and in at least ``SUPPORT``, as one class: its name is what
+    they have in common, a count of texts and two sums over their hashes."""
+    mixed = F.xxhash64("hash", F.lit(name))
+    return rows.groupBy(name).agg(F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("documents"),
+                                  F.struct(F.count(F.lit(1)), F.sum(mixed.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(mixed))).alias("texts_of")
+                                  ).where(F.col("texts") >= SUPPORT)
+
+
+def disclosures(texts: DataFrame, words: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``hash, term, disclosure``: in each of ``texts`` (``hash, copies, spans``), the terms that disclose one of its
+    values, with the most they tell; counts are over all of ``docs``, ``words`` are those of ``texts``."""
+    copies = texts.select("hash", "copies")
+    entity_rows = written(texts.select("hash", "copies", F.explode(F.array_distinct(
+        F.transform("spans", lambda s: _entity(s["kind"], s["value"])))).alias("entity")), "entities")
+    term_rows = written(words.select("hash", "term").distinct().join(small_side(written(copies, "value-texts")), "hash"), "terms")
+    entities = _classes(entity_rows, "entity")
+    terms = written(_classes(term_rows, "term"), "term-classes")
+
+    distinct = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0)))
+    every = docs.select(F.explode(distinct).alias("term")).join(small_side(terms.select("term")), "term", "left_semi")
+    with_term = written(every.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")), "term-counts")
+    total = docs.count()
+    counted = terms.join(with_term, "term").withColumn("t", F.xxhash64("texts_of", "with_term"))
+    counted = written(counted.select("term", "t", "with_term"), "counted-terms")
+    named = written(entities.select("entity", F.xxhash64("texts_of").alias("e"), F.col("documents").alias("with_entity")), "counted-entities")
+
+    of_text = entity_rows.join(small_side(named), "entity").select("hash", "copies", "e", "with_entity").distinct()
+    in_text = term_rows.join(small_side(counted), "term").select("hash", "t", "with_term").distinct()
+    # The most a pair can have in common is all of the entity.
+    reachable = F.col("with_term") <= F.pow("with_entity", F.lit(GENERALISE)) * F.pow(F.lit(float(total)), F.lit(1 - GENERALISE)) * 1.000001
+    pairs = written(of_text.join(in_text, "hash").where(reachable).select("hash", "copies", "e", "t", "with_entity", "with_term"), "class-pairs")
+    joint = pairs.groupBy("e", "t", "with_entity", "with_term").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("support"))
+    share = F.log2(F.col("both") * F.lit(total) / (F.col("with_entity") * F.col("with_term")))
+    known = F.log2(F.lit(total) / F.col("with_entity"))
+    told = joint.where(F.col("support") >= SUPPORT).select("e", "t", F.when(known > 0, share / known).otherwise(F.lit(0.0)).alias("disclosure"))
+    told = written(told.where(F.col("disclosure") >= GENERALISE), "disclosing-classes")
+    most = pairs.join(small_side(told), ["e", "t"]).groupBy("hash", "t").agg(F.max("disclosure").alias("disclosure"))
+    shown = term_rows.select("hash", "term").join(small_side(counted.select("term", "t")), "term").join(most, ["hash", "t"])
+    return shown.select("hash", "term", "disclosure")
 
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: ``id, hash, spans, added``.
 
     ``spans`` are the pattern spans (kind, start, end, value), ``added`` the terms (start, end,
-    action: generalise or remove) by start. A term near several entities gets the stronger
+    action: generalise or remove) by start. A term that discloses several entities of the text gets the stronger
     action. Null and empty texts have none; rows that share identifier and text have one
     result; without documents there is nothing. Other columns are not read. An email of
     any length, a run of digits of any length and texts of any length are read whole.
@@ -167,22 +195,20 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     content = F.coalesce(F.col(text), F.lit(""))
     given = docs.select(F.col(doc_id).alias("id"), F.xxhash64(content).alias("hash"), content.alias("text"))
     spotted = given.select("id", "hash", "text", pattern_spans(F.col("text")).alias("spans"))
-    context = F.when(F.size("spans") > 0, _context_terms(F.col("text"), F.col("spans")))
-    found = written(spotted.select("id", "hash", "spans", context.alias("context")), "found-values")
+    words = F.when(F.size("spans") > 0, placed_matches(F.col("text"), _WORD))
+    found = written(spotted.select("id", "hash", "spans", words.alias("words")), "found-values")
 
-    near = found.where(F.size("spans") > 0)
-    texts = near.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.first("spans").alias("spans"), F.first("context").alias("context"))
-    texts = texts.select(F.struct("hash", "copies").alias("doc"), "spans", "context")
+    texts = found.where(F.size("spans") > 0).groupBy("hash").agg(
+        F.count(F.lit(1)).alias("copies"), F.first("spans").alias("spans"), F.first("words").alias("words"))
     texts = written(texts, "texts-with-values")
-    told = disclosures(texts, given, "text").where(F.col("disclosure") >= GENERALISE)
-    told = written(told, "disclosing-terms")
-    places = texts.select("doc.hash", F.explode("context").alias("c")).select("hash", "c.entity", "c.term", "c.start", "c.end")
-    marked = places.join(small_side(told), ["entity", "term"]).groupBy("hash", "start", "end").agg(F.max("disclosure").alias("most"))
-    action = F.when(F.col("most") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
+    free = written(_free_words(texts), "free-words")
+    told = written(disclosures(texts.select("hash", "copies", "spans"), free, given, "text"), "disclosing-terms")
+    marked = free.join(told, ["hash", "term"])
+    action = F.when(F.col("disclosure") >= REMOVE, F.lit("remove")).otherwise(F.lit("generalise"))
     marked = marked.select("hash", F.struct("start", "end", action.alias("action")).alias("span"))
-    # At most the words near a text's own values.
+    # At most the words of one text.
     added = written(marked.groupBy("hash").agg(F.array_sort(F.collect_list("span")).alias("added")), "added-terms")
-    out = found.select("id", "hash", "spans").join(small_side(added), "hash", "left")
+    out = found.select("id", "hash", "spans").join(added, "hash", "left")
     empty = F.array().cast("array<struct<start:int,end:int,action:string>>")
     return out.select("id", "hash", "spans", F.coalesce("added", empty).alias("added"))
 
