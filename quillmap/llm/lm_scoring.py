@@ -1,13 +1,15 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both models are n-grams of symbols over one vocabulary: the most frequent bytes of the corpus in
-lower case, one symbol for all others and one for the start of a text. Target counts are taken
-over all documents that are labelled good, background counts over all documents.
-A document's score is the mean over its symbols of the loss under the target model
-less that under the background model, in bits; lower is more like the target.
-
-The vocabulary bounds the number of n-grams, so counts meet as one row per n-gram and task, and
-the finished tables go to every task.
+Both models are n-grams of characters in lower case over one shared vocabulary: all characters and all n-grams of the
+corpus, which grow with it. Target counts are taken over all documents that are labelled good, background counts
+over all documents, and both models are smoothed alike: each order adds ``PRIOR`` observations that follow
+the next shorter one, the shortest is backed by equal chances for all characters. The tokens of a text are its characters.
+A token's loss is in bits; a document's score is the mean over its tokens of the loss under the target model less that
+under the background model; lower is more like the target.
+
+Documents are dealt with in blocks. A block counts its own n-grams, so what is shuffled is at most one row for each
+n-gram of a block. Summed rows are the models, kept as a table. The losses are joined back to the rows of the
+blocks by n-gram, and meet the texts by block, which is a portion of bounded size.
 """
 
 from __future__ import annotations
@@ -16,160 +18,180 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmap.llm.common import query, small_side, table, written
 
-#: Symbols of the vocabulary, and of an n-gram.
-SYMBOLS = 64
-ORDER = 3
+#: Characters of an n-gram.
+ORDER = 5
 
-#: What the shorter context weighs against observed counts.
-PRIOR = 64.0
+#: Observations by which the shorter context weighs against counts.
+PRIOR = 4.0
 
-_OTHER, _START = 0, 1
-#: A byte that no UTF-8 text has; it stands for the start of a text.
-_MARK = b"\xff" * (ORDER - 1)
-_PORTION = 4 << 20
+#: Characters of a block; a longer text is a block of its own.
+PORTION = 8 << 20
+
+#: It stands before the first character of a text, for as many as an n-gram needs.
+_START = "\x02"
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    start, held, size = 0, [], 0
-    for i, value in enumerate(batch.column("text")):
-        held.append((value.as_py() or "").encode("utf-8", "replace"))
-        size += len(held[-1])
-        if size >= _PORTION or i + 1 == len(batch):
-            yield start, held
-            start, held, size = i + 1, [], 0
-
-
-def _lower_bytes() -> np.ndarray:
-    lower = np.arange(256)
-    lower[ord("A"):ord("Z") + 1] += ord("a") - ord("A")
-    return lower
-
-
-def _histogram(batches: Batches) -> Batches:
-    total = np.zeros(256, np.int64)
-    for batch in batches:
-        for _, texts in _portions(batch):
-            total += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(total)], names=["byte", "n"])
-
-
-def vocabulary(texts: DataFrame) -> np.ndarray:
-    """The symbol of each byte value, from counts over all of ``texts`` (column ``text``)."""
-    counts = texts.select("text").mapInArrow(_histogram, "byte int, n bigint").groupBy("byte").agg(F.sum("n").alias("n"))
-    raw = np.zeros(256, np.int64)
-    for row in counts.collect():
-        raw[row.byte] = row.n
-    lower = _lower_bytes()
-    merged = np.bincount(lower, raw, minlength=256).astype(np.int64)
-    ranked = [b for b in sorted(range(256), key=lambda b: (-merged[b], b)) if merged[b]][: SYMBOLS - 2]
-    symbols = np.full(256, _OTHER)
-    symbols[ranked] = np.arange(2, 2 + len(ranked))
-    symbols = symbols[lower]
-    symbols[0xFF] = _START
-    return symbols.astype(np.int32)
-
-
-def _grams(texts: list[bytes], symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """N-gram number of each symbol of the texts, and the number of symbols of each text."""
-    flat = symbols[np.frombuffer(b"".join(_MARK + t for t in texts) if texts else b"", np.uint8)]
-    if not len(flat):
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    last = flat[ORDER - 1:]
-    grams = np.zeros(len(last), np.int32)
-    for j in range(ORDER):
-        grams = grams * SYMBOLS + flat[j: len(flat) - ORDER + 1 + j]
-    return grams[last != _START], np.array([len(t) for t in texts], np.int64)
-
-
-def _counter(symbols: np.ndarray) -> Callable[[Batches], Batches]:
-    def count(batches: Batches) -> Batches:
-        totals = np.zeros((2, SYMBOLS**ORDER), np.int64)
-        for batch in batches:
-            target = batch.column("target").to_pylist()
-            for start, texts in _portions(batch):
-                for kind in (0, 1):
-                    chosen = [t for t, good in zip(texts, target[start:]) if good or not kind]
-                    totals[kind] += np.bincount(_grams(chosen, symbols)[0], minlength=SYMBOLS**ORDER)
-        seen = np.flatnonzero(totals[0])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen.astype(np.int32)), pa.array(totals[0, seen]), pa.array(totals[1, seen])],
-            names=["gram", "background", "target"],
-        )
-
-    return count
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Bits of each n-gram's last symbol after its others; shorter contexts fill what longer ones lack."""
-    lower = np.full(1, 1.0 / SYMBOLS)
-    for n in range(1, ORDER + 1):
-        level = counts.reshape(-1, SYMBOLS**n).sum(axis=0).reshape(-1, SYMBOLS)
-        shorter = np.broadcast_to(lower, (SYMBOLS,)) if n == 1 else np.tile(lower, (SYMBOLS, 1))
-        smooth = (level + PRIOR * shorter) / (level.sum(axis=1, keepdims=True) + PRIOR)
-        lower = smooth
-    return -np.log2(lower).ravel()
-
-
-def _scorer(symbols: np.ndarray, target: np.ndarray, background: np.ndarray) -> Callable[[Batches], Batches]:
-    def score(batches: Batches) -> Batches:
+def _unique_rows(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a row of codes as positions of one of each, in order of their codes, and which of them ends where."""
+    size = int(codes.max(initial=0)) + 1
+    n = len(codes) - order + 1
+    grams = codes[:n].astype(np.int64)
+    span = size
+    for j in range(1, order):
+        if span * size >= 1 << 62:
+            # Too many for one number: those that occur are numbered anew, in the same order.
+            grams = np.unique(grams, return_inverse=True)[1]
+            span = int(grams.max(initial=0)) + 1
+        grams = grams * size + codes[j: j + n]
+        span *= size
+    _, first, which = np.unique(grams, return_index=True, return_inverse=True)
+    return first, which
+
+
+def grams_of(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different n-grams that end in a character of a text, which of them ends at each character, text after text,
+    and the number of characters of each text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    padded = "".join(_START * (order - 1) + t for t in texts)
+    points = np.frombuffer(padded.encode("utf-32-le", "replace"), "<u4")
+    if not sizes.sum():
+        return [], np.zeros(0, np.int64), sizes
+    _, codes = np.unique(points, return_inverse=True)
+    first, which = _unique_rows(codes, order)
+    # The n-gram at place p ends in p + order - 1; those that end in a start are of no text.
+    ends = np.cumsum(sizes + order - 1)
+    inside = np.ones(len(which), bool)
+    for k in range(order - 1):
+        gone = ends[:-1] + k - (order - 1)
+        inside[gone[gone >= 0]] = False
+    gaps = np.arange(len(which))[inside]
+    used = np.unique(which[gaps])
+    renumbered = np.zeros(len(first), np.int64)
+    renumbered[used] = np.arange(len(used))
+    rows = points[first[used][:, None] + np.arange(order)]
+    grams = np.ascontiguousarray(rows).astype("<u4").view(f"<U{order}").ravel().tolist()
+    # NumPy drops zeros at the end of a string.
+    grams = [g + "\0" * (order - len(g)) for g in grams]
+    return grams, renumbered[which[gaps]], sizes
+
+
+_BLOCK = "block bigint, id {id}, text string, place int, gram string, target bigint, background bigint"
+
+
+def _blocks(schema: pa.Schema, portion: int) -> Callable[[Batches], Batches]:
+    """Texts with their block, and one row for each n-gram of the block."""
+
+    def portions(batches: Batches) -> Iterator[tuple[pa.Array, list[str], list[bool]]]:
         for batch in batches:
-            for start, texts in _portions(batch):
-                grams, sizes = _grams(texts, symbols)
-                ends = np.cumsum(sizes)
-                means = []
-                for table in (target, background):
-                    sums = np.concatenate([[0.0], np.cumsum(table[grams], dtype=np.float64)])
-                    with np.errstate(invalid="ignore"):
-                        means.append((sums[ends] - sums[ends - sizes]) / sizes)
-                empty = sizes == 0
-                columns = [pa.array(m, pa.float64(), mask=empty) for m in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(start, len(texts)), pa.array(sizes), *columns],
-                    names=["id", "n_tokens", "ce_target", "ce_background", "score"],
-                )
-
-    return score
-
-
-def models(docs: DataFrame, good: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, target losses and background losses from all of ``docs``; ``good`` lists identifiers (``id``)."""
-    given = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    symbols = vocabulary(given)
-    marks = written(good.where("id is not null").select("id").distinct().withColumn("good", F.lit(True)), "target-documents")
-    marked = given.join(small_side(marks), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
-    parts = marked.mapInArrow(_counter(symbols), "gram int, background bigint, target bigint")
-    summed = parts.groupBy("gram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-    # At most SYMBOLS ** ORDER rows of three numbers.
-    rows = summed.toArrow()
-    counts = np.zeros((2, SYMBOLS**ORDER))
-    for kind, name in enumerate(("target", "background")):
-        counts[kind, rows.column("gram").to_numpy()] = rows.column(name).to_numpy()
-    return symbols, losses(counts[0]), losses(counts[1])
-
-
-def scores(docs: DataFrame, good: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``id, n_tokens, ce_target, ce_background, score`` of each row of ``docs``.
-
-    ``n_tokens`` is the number of symbols (bytes). A null or empty text has none, and null
+            first, size, held = 0, 0, []
+            good = batch.column("good").to_pylist()
+            for i, text in enumerate(batch.column("text")):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size >= portion or i + 1 == len(batch):
+                    yield batch.column("id").slice(first, len(held)), held, good[first: i + 1]
+                    first, size, held = i + 1, 0, []
+
+    def run(batches: Batches) -> Batches:
+        task = TaskContext.get().partitionId()
+        for nth, (ids, texts, good) in enumerate(portions(batches)):
+            block = (task << 32) + nth
+            grams, which, sizes = grams_of(texts)
+            target = np.bincount(which[np.repeat(np.array(good, bool), sizes)], minlength=len(grams))
+            background = np.bincount(which, minlength=len(grams))
+            n, m = len(texts), len(grams)
+            rows = {
+                "block": [block] * n, "id": ids, "text": texts, "place": pa.nulls(n), "gram": pa.nulls(n), "target": pa.nulls(n), "background": pa.nulls(n),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(v).cast(schema.field(k).type) for k, v in rows.items()], schema=schema)
+            rows = {
+                "block": np.full(m, block), "id": pa.nulls(m), "text": pa.nulls(m), "place": np.arange(m, dtype=np.int32),
+                "gram": pa.array(grams, pa.string()), "target": target, "background": background,
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(v).cast(schema.field(k).type) for k, v in rows.items()], schema=schema)
+
+    return run
+
+
+def models(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
+    """``gram, target, background`` with counts of the longest n-grams to ``gram, loss_target, loss_background``."""
+    kinds = ["target", "background"]
+    chances = None
+    for n in range(1, order + 1):
+        level = counts.select(F.substring("gram", order - n + 1, n).alias("gram"), *kinds).groupBy("gram").agg(*(F.sum(k).alias(k) for k in kinds))
+        if n == 1:
+            level = written(level, "character-counts")
+            whole = level.agg(F.count(F.lit(1)).alias("n"), *(F.sum(k).alias(k) for k in kinds)).first()
+            smooth = [(F.col(k) + prior / max(whole.n, 1)) / (F.lit(float(whole[k] or 0)) + prior) for k in kinds]
+            chances = level.select("gram", *(c.alias(f"p_{k}") for c, k in zip(smooth, kinds)))
+            continue
+        level = level.withColumn("context", F.substring("gram", 1, n - 1)).withColumn("shorter", F.substring("gram", 2, n - 1))
+        contexts = level.groupBy("context").agg(*(F.sum(k).alias(f"of_{k}") for k in kinds))
+        shorter = chances.select(F.col("gram").alias("shorter"), *(F.col(f"p_{k}").alias(f"s_{k}") for k in kinds))
+        joined = level.join(contexts, "context").join(shorter, "shorter")
+        smooth = [(F.col(k) + prior * F.col(f"s_{k}")) / (F.col(f"of_{k}") + prior) for k in kinds]
+        chances = written(joined.select("gram", *(c.alias(f"p_{k}") for c, k in zip(smooth, kinds))), f"chances-{n}")
+    return chances.select("gram", *((-F.log2(f"p_{k}")).alias(f"loss_{k}") for k in kinds))
+
+
+def _scores(texts: pa.Table, losses: pa.Table) -> pa.Table:
+    """Texts of one block with the means of their tokens' losses; ``losses`` has those of the block's n-grams by place."""
+    _, which, sizes = grams_of([t or "" for t in texts.column("text").to_pylist()])
+    order = np.argsort(losses.column("place").to_numpy())
+    ends = np.cumsum(sizes)
+    means = []
+    for kind in ("target", "background"):
+        loss = losses.column(f"loss_{kind}").to_numpy()[order]
+        sums = np.concatenate([[0.0], np.cumsum(loss[which])])
+        with np.errstate(invalid="ignore"):
+            means.append((sums[ends] - sums[ends - sizes]) / sizes)
+    columns = [pa.array(m, pa.float64(), mask=sizes == 0) for m in (*means, means[0] - means[1])]
+    return pa.table([texts.column("id"), pa.array(sizes), *columns], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
+
+
+def scores(docs: DataFrame, good: DataFrame, text: str = "text", doc_id: str = "doc_id", portion: int = PORTION) -> DataFrame:
+    """``id, n_tokens, ce_target, ce_background, score`` of each row of ``docs``; ``good`` lists identifiers (``id``).
+
+    ``n_tokens`` is the number of characters in lower case. A null or empty text has none, and null
     cross-entropies and score. Repeated rows count each time. Without good documents the
-    target model knows nothing and is the same for every text. Other columns are not read.
+    target model knows nothing and is the same for every text. An empty table gives an empty table. Other columns are not
+    read. Every n-gram of every whole text counts, of any script.
     """
-    symbols, target, background = models(docs, good, text, doc_id)
-    given = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    spark = docs.sparkSession
+    marks = written(good.where("id is not null").select("id").distinct().withColumn("good", F.lit(True)), "target-documents")
+    lower: Column = F.lower(F.coalesce(F.col(text), F.lit("")))
+    given = docs.select(F.col(doc_id).alias("id"), lower.alias("text")).join(small_side(marks), "id", "left")
+    given = given.select("id", "text", F.coalesce("good", F.lit(False)).alias("good"))
     id_type = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(
-        _scorer(symbols, target, background),
-        f"id {id_type}, n_tokens bigint, ce_target double, ce_background double, score double",
+    ddl = _BLOCK.format(id=id_type)
+    blocks = written(given.mapInArrow(_blocks(_arrow_schema(ddl), portion), ddl), "gram-blocks")
+
+    rows = blocks.where("gram is not null")
+    counts = written(rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "gram-counts")
+    losses = rows.select("gram", "block", "place").join(models(counts), "gram")
+    losses = losses.select(F.col("block").alias("owner"), "place", "loss_target", "loss_background")
+    texts = blocks.where("gram is null").select("block", "id", "text")
+    # A group is one block.
+    return texts.groupBy("block").cogroup(losses.groupBy("owner")).applyInArrow(
+        _scores, f"id {id_type}, n_tokens bigint, ce_target double, ce_background double, score double"
     )
 
 
+def _arrow_schema(ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 @query("op6_lm_scoring")
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents labelled as of good quality are the target."""

@@ -1,80 +1,105 @@
 """Cross-entropy difference against counts in dictionaries."""
 
 import math
+import os
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillmap.llm import lm_scoring as lm
+from quillmap.llm.queries import QUERIES
 
-DOCS = [(1, "The cat sat."), (2, "the cat ran"), (3, "zzz!! ## zzz"), (3, "zzz!! ## zzz"), (4, None), (5, ""), (None, "Né cat"), (6, "cat " * 9000)]
+SF_DIR = os.environ.get("QUILLMAP_SF_DIR", "/root/testdata/sf0.001")
+SCRIPTS = "abcdefghijklmnopqrstuvwxyz 0123456789.,ABCÉéßабвгджзиклмнопαβγδεζηθ中文字語한국어日本🙂🙃́אבגדهوي\t\n\x00"
 GOOD = [(1,), (2,), (2,), (None,), (77,)]
 
 
-def symbols_of(texts):
-    counts = Counter(b for t in texts for b in t.lower().encode() if True)
-    ranked = sorted(counts, key=lambda b: (-counts[b], b))[: lm.SYMBOLS - 2]
-    return {b: i + 2 for i, b in enumerate(ranked)}
+def grams(text):
+    padded = lm._START * (lm.ORDER - 1) + text.lower()
+    return [padded[i: i + lm.ORDER] for i in range(len(text.lower()))]
 
 
-def grams(text, names):
-    s = [1, 1] + [names.get(b, 0) for b in ascii_lower(text).encode()]
-    return [tuple(s[i: i + 3]) for i in range(len(s) - 2)]
-
-
-def ascii_lower(text):
-    return "".join(c.lower() if c.isascii() else c for c in text)
-
-
-def bits(texts, names):
-    three = Counter(g for t in texts for g in grams(t, names))
-    two, one, ab, b_, total = Counter(), Counter(), Counter(), Counter(), 0
-    for (a, b, c), n in three.items():
-        two[b, c] += n
-        one[c] += n
-        ab[a, b] += n
-        b_[b] += n
-        total += n
+def losses(texts, every):
+    counts = [Counter(g[lm.ORDER - n:] for t in texts for g in grams(t)) for n in range(lm.ORDER + 1)]
+    contexts = [Counter() for _ in range(lm.ORDER + 1)]
+    for n in range(1, lm.ORDER + 1):
+        for g, c in counts[n].items():
+            contexts[n][g[:-1]] += c
+    size = len({c for t in every for c in t.lower()})
 
     def loss(g):
-        a, b, c = g
-        p1 = (one[c] + lm.PRIOR / lm.SYMBOLS) / (total + lm.PRIOR)
-        p2 = (two[b, c] + lm.PRIOR * p1) / (b_[b] + lm.PRIOR)
-        return -math.log2((three[g] + lm.PRIOR * p2) / (ab[a, b] + lm.PRIOR))
+        p = 1 / size
+        for n in range(1, lm.ORDER + 1):
+            s = g[lm.ORDER - n:]
+            p = (counts[n][s] + lm.PRIOR * p) / (contexts[n][s[:-1]] + lm.PRIOR)
+        return -math.log2(p)
 
     return loss
 
 
-def test_against_dictionaries(spark):
-    df = spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3).withColumn("good", F.lit(0)).withColumn("target", F.lit(1))
-    good = spark.createDataFrame(GOOD, "id long")
-    got = sorted((tuple(r) for r in lm.scores(df, good).collect()), key=str)
-    texts = [t or "" for _, t in DOCS]
-    names = symbols_of([ascii_lower(t) for t in texts])
-    target = bits([t for k, t in DOCS if k in (1, 2)], names)
-    background = bits(texts, names)
-    want = []
-    for k, t in DOCS:
-        g = grams(t or "", names)
-        means = [sum(map(f, g)) / len(g) if g else None for f in (target, background)]
-        want.append((k, len(g), *means, means[0] - means[1] if g else None))
-    for a, b in zip(got, sorted(want, key=str)):
-        assert a[:2] == b[:2] and a[2:] == (pytest.approx(b[2:], abs=1e-6) if b[1] else b[2:])
-    scores = {r[0]: r[4] for r in got}
-    assert scores[2] < scores[3]
-
-
-def test_probabilities_sum_to_one():
-    import numpy as np
-
-    counts = np.random.default_rng(0).integers(0, 5, lm.SYMBOLS**lm.ORDER).astype(float)
-    p = 2.0 ** -lm.losses(counts).reshape(-1, lm.SYMBOLS)
-    assert np.allclose(p.sum(axis=1), 1)
-
-
-def test_nothing_good_and_empty_table(spark):
-    df = spark.createDataFrame(DOCS, "doc_id long, text string")
-    none = spark.createDataFrame([], "id long")
-    assert {round(r.ce_target, 6) for r in lm.scores(df, none).collect() if r.n_tokens} == {6.0}
-    assert lm.scores(df.limit(0), none).count() == 0
+def expected(rows, good):
+    texts = [t or "" for _, t in rows]
+    models = losses([t or "" for k, t in rows if k in good], texts), losses(texts, texts)
+    out = []
+    for k, t in rows:
+        g = grams(t or "")
+        means = [sum(map(f, g)) / len(g) if g else None for f in models]
+        out.append((k, len(g), *means, means[0] - means[1] if g else None))
+    return out
+
+
+def same(got, want):
+    got, want = (sorted(x, key=lambda r: (str(r[0]), r[1], str(r[2] and round(r[2], 6)))) for x in (got, want))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want):
+        assert a[2:] == (pytest.approx(b[2:], abs=1e-9) if b[2] is not None else b[2:])
+
+
+@pytest.mark.parametrize("portion", [50, 8 << 20])
+def test_against_dictionaries(spark, portion):
+    rnd = random.Random(portion)
+    rows = [(i, "".join(rnd.choice(SCRIPTS) for _ in range(rnd.randint(0, 60)))) for i in range(60)]
+    rows += [(1, "The cat sat."), (3, "zzz!! ## zzz"), (3, "zzz!! ## zzz"), (4, None), (5, ""), (None, "Né cat"), (6, "cat " * 3000), (7, "\x00"), (8, "a\x00\x00")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("good", F.lit(0)).withColumn("target", F.lit(1))
+    got = lm.scores(df, spark.createDataFrame(GOOD, "id long"), portion=portion)
+    assert got.columns == ["id", "n_tokens", "ce_target", "ce_background", "score"]
+    same([tuple(r) for r in got.collect()], expected(rows, {1, 2, 77}))
+
+
+def test_very_many_characters():
+    """More than one number can hold for an n-gram."""
+    rnd = random.Random(2)
+    texts = ["".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(9000)), "", "ab"]
+    names, which, sizes = lm.grams_of(texts)
+    assert [names[i] for i in which] == [g for t in texts for g in grams(t)] and sizes.tolist() == [9000, 0, 2]
+    assert len(set(names)) == len(names) and lm.grams_of([])[0] == [] and lm.grams_of(["", ""])[0] == []
+    assert lm.grams_of(texts[::-1])[0] == names
+
+
+def test_without_good_documents(spark):
+    df = spark.createDataFrame([(1, "some text"), (2, "other")], "doc_id long, text string")
+    rows = lm.scores(df, spark.createDataFrame([], "id long")).collect()
+    size = len(set("some textother"))
+    assert all(r.ce_target == pytest.approx(math.log2(size)) for r in rows)
+    assert lm.scores(df.limit(0), spark.createDataFrame([], "id long")).collect() == []
+
+
+def test_models_grow_with_the_corpus(spark):
+    def size(n):
+        rows = [(i, f"word{i} {i * 7919} text") for i in range(n)]
+        text = [t for _, t in rows]
+        df = spark.createDataFrame([(g, 1, 1) for g in lm.grams_of(text)[0]], "gram string, target long, background long")
+        return lm.models(df).count()
+
+    assert size(200) < size(400) < size(800)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables not found")
+def test_query(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").where("quality = 1").collect()}
+    df = QUERIES["op6_lm_scoring"](spark, SF_DIR)
+    assert df.columns[0] == "doc_id"
+    same([tuple(r) for r in df.collect()], expected(rows, good))
