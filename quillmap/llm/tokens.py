@@ -42,3 +42,8 @@ def byte_bpe_ids(texts: list[str], json_path: str, ranks_path: str | None, patte
             ids = _library(json_path).encode(text, add_special_tokens=False).ids
         out.append(np.array(ids, np.uint32))
     return out
+
+
+def plain_ids(text: str, ranks_path: str, pattern: str) -> list[int] | None:
+    """Ids of a text of common Latin characters by the rank file, marks of special tokens as plain text; None for any other."""
+    return _ranked(ranks_path, pattern).encode_ordinary(text) if _COMMON.fullmatch(text) else None

@@ -103,11 +103,11 @@ def test_lockstep():
         assert [e in both for e in ends_a] == got.cut_a.tolist() and [e in both for e in ends_b] == got.cut_b.tolist()
 
 
-@pytest.mark.parametrize("portion", [60, 6 << 20])
-def test_rows(spark, portion):
+@pytest.mark.parametrize(("portion", "ranks"), [(60, None), (6 << 20, public_tokenizers.path("byte_bpe_50k.tiktoken"))])
+def test_rows(spark, portion, ranks):
     rows = [*enumerate(sample(random.Random(9), 150)), (7, None), (8, ""), (3, "same text"), (3, "same text"), (None, "same text")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("block", F.lit(1)).withColumn("pair", F.lit("x"))
-    assert sorted(map(tuple, alignment.alignment_counts(df, A, B, portion=portion).collect()), key=str) == expected(rows)
+    assert sorted(map(tuple, alignment.alignment_counts(df, A, B, ranks_a=ranks, portion=portion).collect()), key=str) == expected(rows)
     assert alignment.alignment_counts(df.limit(0), A, B).collect() == []
     for r in alignment.alignments(df.where("doc_id is not null and doc_id > 8"), A, B).collect():
         a, b, links, groups = brute(dict(rows)[r.id])
