@@ -151,6 +151,12 @@ def near_duplicates(
     identifier and component agree. ``hash`` is the text's, to tell repeated identifiers
     apart. An empty table gives an empty table; other columns are not read.
     """
+    out = _in_components(docs, text, doc_id, size, percent)
+    return out.select("id", "hash", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _in_components(docs: DataFrame, text: str, doc_id: str, size: int, percent: int) -> DataFrame:
+    """``id, hash, n_shingles, component_id``, and ``component``: one value for all rows of a component, NULL for empty sets."""
     given = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
     id_type = given.schema["id"].dataType.simpleString()
     rows = given.mapInArrow(
@@ -173,7 +179,7 @@ def near_duplicates(
 
     in_buckets = keys.join(buckets.select("key"), "key", "left_semi").select("node").distinct()
     wanted = written(nodes.join(in_buckets, "node").select("node", "at"), "candidates")
-    keyed = given.select(F.struct("id", "hash").alias("at"), "text").join(small_side(wanted), "at")
+    keyed = _once(given.select(F.struct("id", "hash").alias("at"), "text"), "at", _repeated(sketches)).join(small_side(wanted), "at")
     sets = written(keyed.select("node", "text").mapInArrow(_setter(size), "node bigint, shingles array<bigint>"), "sets")
 
     measured = written(_confirmed(stars, sets).distinct(), "measured")
@@ -189,12 +195,25 @@ def near_duplicates(
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("size"))
     least = written(least.where("size > 1").select("root", "component_id"), "component-names")
-    answers = written(named.join(least, "root").select("digest", "component_id"), "components")
+    answers = written(named.join(least, "root").select("digest", "root", "component_id"), "components")
     out = sketches.select("id", "hash", F.col("n").alias("n_shingles"), "digest")
     out = out.join(small_side(answers.withColumn("met", F.lit(True))), "digest", "left")
-    component = F.when(F.col("met"), F.col("component_id")).otherwise(F.col("id"))
-    out = out.withColumn("component_id", component)
-    return out.select("id", "hash", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    component = F.when(F.col("n_shingles") > 0, F.coalesce(F.col("root").cast("string"), F.hex("digest")))
+    name = F.when(F.col("met"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", "hash", "n_shingles", name.alias("component_id"), component.alias("component"))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Identifier and hash that several rows share."""
+    return written(rows.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.struct("id", "hash").alias("at")), "repeated-rows")
+
+
+def _once(rows: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
+    """One row for each ``key`` that ``repeated`` (``at``) lists, and all others as they are."""
+    if repeated.isEmpty():
+        return rows
+    listed = small_side(repeated.withColumnRenamed("at", key))
+    return rows.join(listed, key, "left_anti").unionByName(rows.join(listed, key, "left_semi").dropDuplicates([key]))
 
 
 def _rest(
@@ -239,12 +258,20 @@ def _rest(
 
 
 def without_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns."""
-    identity, content = fresh(docs.columns, "near_id", "near_hash")
-    gone = near_duplicates(docs, text, doc_id, size, percent).where("not kept")
-    gone = written(gone.select(F.struct(F.col("id"), F.col("hash")).alias(content)).distinct(), "near-dropped")
+    """One row of each component of ``docs``, with all columns: that of the least identifier, rows without one last.
+
+    Of several rows that share the identifier the one of the least hash stays, of rows that share the text too
+    any one. Rows whose text has no words are in no component and all stay.
+    """
+    (content,) = fresh(docs.columns, "near_key")
+    found = written(_in_components(docs, text, doc_id, size, percent).where("component is not null").select("id", "hash", "component"), "near-rows")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "hash")
+    stays = found.groupBy("component").agg(F.min(place).alias("stays"), F.count(F.lit(1)).alias("size"))
+    stays = written(stays.where("size > 1").select("component", "stays"), "near-components")
+    gone = found.join(small_side(stays), "component").where(~place.eqNullSafe(F.col("stays")))
+    gone = written(gone.select(F.struct("id", "hash").alias(content)).distinct(), "near-dropped")
     keyed = docs.withColumn(content, F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("hash")))
-    return keyed.join(small_side(gone), content, "left_anti").drop(content)
+    return _once(keyed.join(small_side(gone), content, "left_anti"), content, _repeated(found)).drop(content)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"

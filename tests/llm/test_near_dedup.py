@@ -85,7 +85,27 @@ def test_awkward_rows_and_clashing_columns(spark):
         [(5, 5, True), (5, 5, True), (None, 5, False), (None, None, True), (7, 5, False), (8, 8, True)], key=str)
     stay = nd.without_near_duplicates(df)
     assert stay.columns == df.columns
-    assert sorted((r.doc_id, r.near_hash) for r in stay.collect() if r.doc_id) == [(5, 1), (5, 1), (8, 1)]
+    assert sorted((r.doc_id, r.near_hash) for r in stay.collect() if r.doc_id) == [(5, 1), (8, 1)]
+    assert [r.text for r in stay.collect() if r.doc_id is None] == ["q r s t u"]
+
+
+def test_one_row_of_each_component_stays(spark):
+    words = [f"w{i}" for i in range(40)]
+    near = [" ".join([*words[:k], "x", *words[k + 1:]]) for k in (0, 39)]
+    rows = [(None, near[0]), (None, near[1]), (None, near[1]), (3, "a b c d e f"), (3, "A b c d e f"), (4, "a b c d e f"), (9, None), (9, ""), (9, "")]
+    stay = nd.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(str(r.doc_id) for r in stay) == ["3", "9", "9", "9", "None"]
+
+
+def test_copies_under_one_identifier_meet_once(spark, monkeypatch):
+    """Two near texts, each 400 times: one pair is confirmed on one set each."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(k, " ".join([f"x{k}", *words])) for k in (1, 2) for _ in range(400)]
+    seen = []
+    confirmed = nd._confirmed
+    monkeypatch.setattr(nd, "_confirmed", lambda pairs, sets: seen.append(sets.count()) or confirmed(pairs, sets))
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 800 and {r.component_id for r in got} == {1} and set(seen) == {2}
 
 
 def test_empty_table(spark):
