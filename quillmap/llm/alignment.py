@@ -49,7 +49,7 @@ Batches = Iterator[pa.RecordBatch]
 _NONE = np.zeros(0, np.int64)
 
 
-def _byte_of_character() -> dict[str, int]:
+def byte_of_character() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones themselves,
     all others in order from U+0100."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -59,7 +59,7 @@ def _byte_of_character() -> dict[str, int]:
 
 def entry_bytes(library: Tokenizer) -> list[bytes]:
     """Bytes of each entry of a byte-level vocabulary; added tokens stand for themselves."""
-    byte = _byte_of_character()
+    byte = byte_of_character()
     out = []
     for i in range(library.get_vocab_size(with_added_tokens=True)):
         token = library.id_to_token(i) or ""

@@ -11,6 +11,10 @@ Texts longer than ``spread`` characters have their leaves encoded as rows of the
 task, and meet again for the joins; shorter ones are encoded in the task that reads them.
 
 Agreement at a blank is exact for vocabularies whose tokens never reach over one; ``Codec`` takes only those.
+
+A text of common Latin characters is first cut into words by the vocabulary's pattern and written with a mark
+after each word. The tree is then one over this writing: its leaves are encoded by ranks, for which a token that ends
+a word ends in the mark, and a blank is the place after a mark. Every other text goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -18,16 +22,20 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quillmap.llm.alignment import byte_of_character
 from quillmap.llm.common import query, table
 
 #: Most characters of a leaf, and of a text that is not spread over tasks.
@@ -43,6 +51,13 @@ REACH = 128
 #: Characters of texts that are encoded before rows are passed on.
 PORTION = 512 << 10
 
+#: Characters that lower case and normal form leave alone or map one to one, as Latin letters or none.
+_COMMON = re.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
+_SPECIAL = "<|"
+#: It ends a word; no common text has it.
+_MARK = "\x01"
+_SUFFIX = "</w>"
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -77,52 +92,109 @@ class Codec:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.token = [self.library.id_to_token(i) or "" for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
+        splits = [p["pattern"]["Regex"] for p in settings["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
+        self.words = regex.compile(splits[0])
+        self.ranked = self.by_ranks(settings["model"])
+
+    def by_ranks(self, model: dict) -> tiktoken.Encoding | None:
+        """The same vocabulary for marked words, if its ids are in the order of its merges: bytes, bytes that end a word, merges."""
+        byte = byte_of_character()
+        merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        merges = [m[: -len(_SUFFIX)].replace(_SUFFIX, "") + _SUFFIX if m.endswith(_SUFFIX) else m for m in merges]
+        ids = [model["vocab"].get(m) for m in merges]
+        if model.get("end_of_word_suffix") != _SUFFIX or ids != list(range(512, 512 + len(merges))):
+            return None
+        ranks = {}
+        for token, i in model["vocab"].items():
+            if i < 512 + len(merges):
+                ends = token.endswith(_SUFFIX)
+                spelled = token[: -len(_SUFFIX)] if ends else token
+                ranks[bytes(map(byte.__getitem__, spelled)) + _MARK.encode() * ends] = i
+        # The mark itself stands where its byte would; at the end of a word it is always merged.
+        ranks[_MARK.encode()] = len(self.token)
+        self.lengths = np.zeros(len(self.token) + 1, np.int64)
+        self.closes = np.zeros(len(self.token) + 1, bool)
+        for spelled, i in ranks.items():
+            self.lengths[i] = sum(b & 0xC0 != 0x80 for b in spelled)
+            self.closes[i] = spelled.endswith(_MARK.encode())
+        return tiktoken.Encoding("words", pat_str=f"[^{_MARK}]+{_MARK}?|{_MARK}", mergeable_ranks=ranks, special_tokens={})
+
+    def prepared(self, text: str) -> tuple[str, bool]:
+        """What the tree is over, and whether that is marked words."""
+        if self.ranked is None or _SPECIAL in text or not _COMMON.fullmatch(text):
+            return text, False
+        words = self.words.findall(text.lower())
+        return "".join([f"{w}{_MARK}" for w in words]), True
 
     def decode(self, ids: list[int]) -> str:
         if self.plain:
             return " ".join(map(self.token.__getitem__, ids))
         return self.library.decode(ids, skip_special_tokens=False)
 
-    def tokens(self, start: int, text: str) -> Tokens:
-        """Tokens of a part whose first character has the place ``start`` in the text."""
-        return self.placed(start, self.library.encode(text, add_special_tokens=False))
+    def tokens(self, start: int, text: str, marked: bool) -> Tokens:
+        """Tokens of a part whose first character has the place ``start``."""
+        if not marked:
+            return self.placed(start, self.library.encode(text, add_special_tokens=False))
+        ids = np.array(self.ranked.encode_ordinary(text), np.int64)
+        ends = start + np.cumsum(self.lengths[ids])
+        return Tokens(ids, ends - self.lengths[ids], ends)
 
     @staticmethod
     def placed(start: int, found) -> Tokens:
         places = np.array(found.offsets, np.int64).reshape(-1, 2) + start
         return Tokens(np.array(found.ids, np.int64), places[:, 0], places[:, 1])
 
-    def join(self, text: str, left: Tokens, right: Tokens, start: int, cut: int, end: int) -> Tokens:
+    def after_blank(self, text: str, window: Tokens, marked: bool) -> np.ndarray:
+        """Which tokens but the first begin after a blank."""
+        if marked:
+            return self.closes[window.ids[:-1]]
+        gap = window.starts[1:] > window.ends[:-1]
+        gap[gap] = [text[s - 1] == " " for s in window.starts[1:][gap]]
+        return gap
+
+    def join(self, text: str, left: Tokens, right: Tokens, start: int, cut: int, end: int, marked: bool) -> Tokens:
         """Tokens of ``text[start:end]`` from those of its halves around ``cut``."""
         reach = REACH
         while True:
             low, high = max(start, cut - reach), min(end, cut + reach)
-            window = self.tokens(low, text[low:high])
-            head = (0, 0) if low == start else _agreed(text, window, left, last=False)
-            tail = (len(window.ids), len(right.ids)) if high == end else _agreed(text, window, right, last=True)
+            window = self.tokens(low, text[low:high], marked)
+            blank = self.after_blank(text, window, marked)
+            head = (0, 0) if low == start else _agreed(window, left, blank, last=False)
+            tail = (len(window.ids), len(right.ids)) if high == end else _agreed(window, right, blank, last=True)
             if head is not None and tail is not None and head[0] <= tail[0]:
                 return _after_each_other(left.part(0, head[1]), window.part(head[0], tail[0]), right.part(tail[1], len(right.ids)))
             reach *= 2
 
-    def tree(self, text: str, cuts: list[int], leaves: list[Tokens]) -> Tokens:
+    def tree(self, text: str, cuts: list[int], leaves: list[Tokens], marked: bool) -> Tokens:
         """Join neighbours, level by level, until one node holds the whole text."""
         while len(leaves) > 1:
             joined = [
-                self.join(text, leaves[i], leaves[i + 1], *cuts[i: i + 3]) for i in range(0, len(leaves), 2)
+                self.join(text, leaves[i], leaves[i + 1], *cuts[i: i + 3], marked) for i in range(0, len(leaves), 2)
             ]
             leaves, cuts = joined, cuts[::2]
         return leaves[0]
 
     def encode(self, texts: list[str], leaf: int = LEAF) -> list[list[int]]:
-        """Ids of each text. The leaves of all texts are encoded in one call of the library."""
-        whole = self.library.encode_batch_fast([t if len(t) <= leaf else "" for t in texts], add_special_tokens=False)
-        out = [e.ids for e in whole]
-        cuts = {i: leaf_cuts(len(t), leaf) for i, t in enumerate(texts) if len(t) > leaf}
-        parts = [texts[i][a:b] for i, at in cuts.items() for a, b in zip(at, at[1:])]
-        found = iter(self.library.encode_batch(parts, add_special_tokens=False))
-        for i, at in cuts.items():
-            leaves = [self.placed(a, next(found)) for a in at[:-1]]
-            out[i] = self.tree(texts[i], at, leaves).ids.tolist()
+        """Ids of each text. Leaves for the library are encoded in one call."""
+        out: list[list[int]] = []
+        whole = []
+        for i, text in enumerate(texts):
+            written, marked = self.prepared(text)
+            if len(written) > leaf:
+                cuts = leaf_cuts(len(written), leaf)
+                parts = [written[a:b] for a, b in zip(cuts, cuts[1:])]
+                if marked:
+                    leaves = [self.tokens(a, p, True) for a, p in zip(cuts, parts)]
+                else:
+                    leaves = [self.placed(a, e) for a, e in zip(cuts, self.library.encode_batch(parts, add_special_tokens=False))]
+                out.append(self.tree(written, cuts, leaves, marked).ids.tolist())
+            elif marked:
+                out.append(self.ranked.encode_ordinary(written))
+            else:
+                whole.append(i)
+                out.append([])
+        for i, found in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = found.ids
         return out
 
     def result(self, ids: list[int], full: bool) -> list:
@@ -139,23 +211,22 @@ def leaf_cuts(length: int, leaf: int) -> list[int]:
     return [length * i // parts for i in range(parts + 1)]
 
 
-def _agreed(text: str, window: Tokens, half: Tokens, last: bool) -> tuple[int, int] | None:
-    """Where, first or last in the window, window and half go on alike: the place in each."""
+def _agreed(window: Tokens, half: Tokens, blank: np.ndarray, last: bool) -> tuple[int, int] | None:
+    """Where, first or last in the window, window and half go on alike: the place in each. ``blank``: tokens after a blank."""
     if not len(window.ids) or not len(half.ids):
         return None
     at = np.minimum(np.searchsorted(half.starts, window.starts), len(half.ids) - 1)
     same = (half.ids[at] == window.ids) & (half.starts[at] == window.starts) & (half.ends[at] == window.ends)
     # Tokens that follow each other in both; parts of one character share a place and are never taken for a run.
     pair = same[1:] & same[:-1] & (np.diff(at) == 1) & (window.starts[1:] >= window.ends[:-1])
-    gaps = np.flatnonzero(pair & (window.starts[1:] > window.ends[:-1])) + 1
-    gaps = [int(g) for g in gaps if text[window.starts[g] - 1] == " "]
+    gaps = np.flatnonzero(pair & blank) + 1
     sums = np.concatenate([[0], np.cumsum(pair)])
     ahead = sums[AGREE - 1:]
     runs = np.flatnonzero(ahead - sums[: len(ahead)] == AGREE - 1) + AGREE // 2
-    found = [*gaps, *(int(r) for r in runs)]
-    if not found:
+    found = np.concatenate([gaps, runs])
+    if not len(found):
         return None
-    w = max(found) if last else min(found)
+    w = int(found.max() if last else found.min())
     return w, int(at[w])
 
 
@@ -197,17 +268,18 @@ def _short(path: str, leaf: int, full: bool) -> Callable[[Batches], Batches]:
     return run
 
 
-def _leaves(leaf: int) -> Callable[[Batches], Batches]:
+def _leaves(path: str, leaf: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
+        codec = _codec(path)
         for batch in batches:
             for i, text in enumerate(batch.column("text")):
-                text = text.as_py()
+                text, marked = codec.prepared(text.as_py())
                 cuts = leaf_cuts(len(text), leaf)
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("id").slice(i, 1), batch.column("hash").slice(i, 1), pa.array([k], pa.int32()),
-                         pa.array([a], pa.int64()), pa.array([text[a:b]], pa.string())],
-                        names=["id", "hash", "leaf", "start", "text"],
+                         pa.array([a], pa.int64()), pa.array([text[a:b]], pa.string()), pa.array([marked])],
+                        names=["id", "hash", "leaf", "start", "text", "marked"],
                     )
 
     return run
@@ -217,8 +289,8 @@ def _encoded_leaves(path: str) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         codec = _codec(path)
         for batch in batches:
-            for i, (start, text) in enumerate(zip(batch.column("start").to_pylist(), batch.column("text").to_pylist())):
-                found = codec.tokens(start, text)
+            for i, (start, text, marked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "text", "marked")))):
+                found = codec.tokens(start, text, marked)
                 columns = [pa.array([c], pa.list_(pa.int64())) for c in found]
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*row.columns, *columns], names=[*row.schema.names, "ids", "starts", "ends"])
@@ -235,7 +307,7 @@ def _joined(path: str, full: bool) -> Callable[[pa.Table], pa.Table]:
         text = "".join(r["text"] for r in rows)
         leaves = [Tokens(*(np.array(r[c], np.int64) for c in Tokens._fields)) for r in rows]
         cuts = [*(r["start"] for r in rows), len(text)]
-        result = codec.result(codec.tree(text, cuts, leaves).ids.tolist(), full)
+        result = codec.result(codec.tree(text, cuts, leaves, rows[0]["marked"]).ids.tolist(), full)
         ids = group.column("id").combine_chunks().slice(0, 1)
         batch = _with_results([ids], ["id"], [result], full)
         return pa.Table.from_batches([batch] * copies)
@@ -262,8 +334,8 @@ def encode_decode(
     result += ", ids array<int>, decoded string" if full else ""
     is_long: Column = F.length("text") > spread
     short = given.where(~is_long).select("id", "text").mapInArrow(_short(path, leaf, full), result)
-    leaf_rows = f"id {id_type}, hash bigint, leaf int, start bigint, text string"
-    leaves = given.where(is_long).mapInArrow(_leaves(leaf), leaf_rows).repartition("id", "hash", "leaf")
+    leaf_rows = f"id {id_type}, hash bigint, leaf int, start bigint, text string, marked boolean"
+    leaves = given.where(is_long).mapInArrow(_leaves(path, leaf), leaf_rows).repartition("id", "hash", "leaf")
     units = leaves.mapInArrow(
         _encoded_leaves(path), f"{leaf_rows}, ids array<bigint>, starts array<bigint>, ends array<bigint>"
     )

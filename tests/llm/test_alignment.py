@@ -80,7 +80,7 @@ def sample(rnd, n):
 
 
 def test_alphabet():
-    assert alignment._byte_of_character() == ALPHABET and len(ALPHABET) == 256
+    assert alignment.byte_of_character() == ALPHABET and len(ALPHABET) == 256
 
 
 def test_lockstep():

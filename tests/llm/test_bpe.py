@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmap.llm import bpe
+from quillmap.llm.merge_queries import last_pair
 from quillmap.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +33,25 @@ def test_cuts_anywhere(monkeypatch, blanks):
         assert codec.result(got, True)[3:] == [want, codec.library.decode(want, skip_special_tokens=False)]
 
 
+LATIN = ["a", "B", "the", "é", "É", "ß", "Ÿ", "ŉ", "ſ", "ĳ", "'s", "'S", "'Re", " ", "  ", "\n", "!", "?!", "1", "23", "x" * 20, "œ", "½", "-", "<", "|"]
+
+
+def test_common_texts_by_ranks():
+    codec = bpe.Codec(PATH)
+    assert codec.ranked is not None
+    rnd = random.Random(4)
+    for _ in range(1500):
+        pool = rnd.sample(LATIN, rnd.randint(1, len(LATIN)))
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 200)))
+        want = codec.library.encode(text, add_special_tokens=False).ids
+        assert codec.encode([text], leaf=rnd.choice([9, 40, 4096]))[0] == want, text
+    # Each token is what its own bytes are merged to, in the same last step.
+    ranks = codec.ranked._mergeable_ranks
+    byte = {i: t for t, i in ranks.items()}
+    pairs = {i: last_pair(t, ranks) for t, i in ranks.items() if i >= 512 and i < len(codec.token)}
+    assert all(p is not None and p[0] + p[1] == byte[i] and max(ranks[p[0]], ranks[p[1]]) < i for i, p in pairs.items() if ranks[p[0]] < len(codec.token) and ranks[p[1]] < len(codec.token))
+
+
 def test_one_long_stretch_without_a_break():
     codec = bpe.Codec(PATH)
     rnd = random.Random(2)
