@@ -540,19 +540,14 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-@query(
-    "streamed_bursts",
-    f"""SELECT * FROM ({_BURSTS})
-        WHERE last_change + 5 * 3600000000 <= (SELECT epoch_ms(max(ts)) * 1000 - 10000000 FROM ({_QUIET}))""",
-    ("changes",),
-)
+@query("streamed_bursts", _BURSTS, ("changes",))
 def streamed_bursts(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     _stream(spark, sf, "events").createOrReplaceTempView("event_stream")
     changes = spark.sql(d.DERIVED["changes"].replace("FROM events", "FROM event_stream"))
     out, checkpoint = fresh_folder(spark, "bursts"), fresh_folder(spark, "bursts-log")
     ch.stream_bursts(changes, out, checkpoint, gap="5 hours").awaitTermination()
-    return _micros(spark.read.parquet(out))
+    return _micros(ch.streamed_bursts(spark, out, checkpoint, gap="5 hours"))
 
 
 @query(

@@ -14,9 +14,13 @@ from quillmap.operators.extract.base import Extractor
 from quillmap.operators.extract.registry import BUILT_IN, apply_gates, extract_ungated
 from quillmap.plans.joins import earlier_ranges, join_by_key, with_ranges
 from quillmap.sources.files import source_files
+from quillmap.streaming.parts import OPEN_PARTS, PART, BurstParts
 
 KEY = ["repo", "path"]
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def without_noise(changes: DataFrame) -> DataFrame:
     """Drop changes without a path or below tool folders (by substring)."""
@@ -26,30 +30,29 @@ def without_noise(changes: DataFrame) -> DataFrame:
     return changes.filter(quiet)
 
 
-def session_bursts(changes: DataFrame, gap: str = fx.DEBOUNCE) -> DataFrame:
-    """One row per burst of changes of a repository, by session windows."""
-    return (
-        without_noise(changes)
-        .groupBy(F.session_window("ts", gap).alias("burst"), "repo")
-        .agg(F.count("*").alias("changes"), F.max("ts").alias("last_change"))
-        .select("repo", F.col("burst.start").alias("first_change"), "last_change", "changes")
-    )
-
-
 def bursts(changes: DataFrame, gap: str = fx.DEBOUNCE, buckets: int = 64) -> DataFrame:
-    """The same bursts for changes at rest.
+    """One row per burst of changes of a repository: ``repo, first_change, last_change, changes``.
 
     A session window sorts all changes of a repository in one task. Here they
     are cut into time ranges: only the ends of the ranges of a repository, at
     most one pair per range, have to meet to tell whether a burst goes on.
     """
-    ranged = with_ranges(without_noise(changes), F.unix_micros(F.col("ts").cast("timestamp")), buckets)
+    points = without_noise(changes).select(
+        "repo", F.col("ts").alias("first_change"), F.col("ts").alias("last_change"), F.lit(1).cast("bigint").alias("changes")
+    )
+    return merged_bursts(points, gap, buckets)
+
+
+def merged_bursts(parts: DataFrame, gap: str = fx.DEBOUNCE, buckets: int = 64) -> DataFrame:
+    """Bursts of which ``parts`` are parts in any overlap; a part that begins within ``gap`` of an earlier one goes on."""
+    ranged = with_ranges(parts, F.unix_micros(F.col("first_change").cast("timestamp")), buckets)
     keys = ["repo", "_range"]
-    ends = ranged.groupBy(*keys).agg(F.max("ts").alias("_last"))
+    ends = ranged.groupBy(*keys).agg(F.max("last_change").alias("_last"))
     before = ends.select(*keys, F.max("_last").over(earlier_ranges(["repo"])).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy("ts")
-    previous = F.coalesce(F.lag("ts").over(inside), F.col("_before"))
-    starts = F.when(F.col("ts") <= previous + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
+    inside = Window.partitionBy(*keys).orderBy("first_change", "last_change")
+    reached = F.max("last_change").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    previous = F.greatest(reached, F.col("_before"))
+    starts = F.when(F.col("first_change") <= previous + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
     marked = ranged.join(before, keys).withColumn("_starts", starts)
     counted = marked.withColumn(
         "_inside", F.sum("_starts").over(inside.rowsBetween(Window.unboundedPreceding, 0))
@@ -61,9 +64,9 @@ def bursts(changes: DataFrame, gap: str = fx.DEBOUNCE, buckets: int = 64) -> Dat
         counted.join(offsets, keys)
         .groupBy("repo", (F.col("_inside") + F.col("_offset")).alias("_burst"))
         .agg(
-            F.min("ts").alias("first_change"),
-            F.max("ts").alias("last_change"),
-            F.count("*").alias("changes"),
+            F.min("first_change").alias("first_change"),
+            F.max("last_change").alias("last_change"),
+            F.sum("changes").alias("changes"),
         )
         .drop("_burst")
     )
@@ -71,24 +74,55 @@ def bursts(changes: DataFrame, gap: str = fx.DEBOUNCE, buckets: int = 64) -> Dat
 
 def stream_bursts(
     changes: DataFrame, path: str, checkpoint: str, gap: str = fx.DEBOUNCE,
-    lateness: str = "10 seconds",
+    lateness: str = "10 seconds", splits: int = 8,
 ) -> StreamingQuery:
-    """Write finished bursts of all changes available now to ``path``.
+    """Keep bursts of all changes available now: finished parts of bursts in ``path``, open ones in the state.
 
-    Changes of a busy repository are merged in each task before the shuffle.
+    Each repository is dealt into ``splits`` by path, so that no task has all changes of a busy one; a part is
+    a burst within a split. It is finished by a timer on event time when the watermark is past its end by ``gap``.
     """
-    changes.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    spark = changes.sparkSession
+    parts = (
+        without_noise(changes)
+        .withWatermark("ts", lateness)
+        .select("repo", F.pmod(F.xxhash64("path"), F.lit(splits)).cast("int").alias("split"), "ts")
+        .groupBy("repo", "split")
+        .transformWithState(BurstParts(_milliseconds(changes, gap)), PART, outputMode="append", timeMode="eventTime")
     )
-    return (
-        session_bursts(changes.withWatermark("ts", lateness), gap)
-        .writeStream.format("parquet")
+    writer = (
+        parts.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
+    # A query keeps the settings that hold when it starts; other streams of the session do not see them.
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def _milliseconds(changes: DataFrame, gap: str) -> int:
+    row = changes.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP '1970-01-01 00:00:00 UTC' + INTERVAL {gap}) AS ms").first()
+    return row.ms
+
+
+def streamed_bursts(spark: SparkSession, path: str, checkpoint: str, gap: str = fx.DEBOUNCE, closing: bool = True) -> DataFrame:
+    """The bursts that a stream has kept, put together from the parts of all splits.
+
+    ``closing`` adds the parts still open in the state, as at the end of a stream. Without it, and while the stream
+    goes on, the last burst of a repository may be a part of what it will be.
+    """
+    parts = spark.read.schema(PART).parquet(path)
+    if closing:
+        state = spark.read.format("statestore").option("stateVarName", OPEN_PARTS).load(checkpoint)
+        left = state.select(F.col("key.repo").alias("repo"), F.col("list_element.*"))
+        parts = parts.unionByName(left)
+    times = [F.timestamp_micros(c).alias(c) for c in ("first_change", "last_change")]
+    return merged_bursts(parts.select("repo", *times, "changes"), gap)
 
 
 def current_index(

@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 from helpers import apply
 from pyspark.sql import functions as F
@@ -133,10 +134,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert read(path) == read(whole) and len(read(path)) == 6
 
 
+def test_streamed_bursts_are_those_at_rest(spark):
+    """Several batches, changes out of order, repositories in several splits, bursts that are open at the end."""
+    rnd = random.Random(3)
+    start = datetime(2024, 1, 1)
+    rows = [(rnd.choice("pqr"), f"f{rnd.randrange(30)}", start + timedelta(milliseconds=50 * i + rnd.randint(0, 400)) + timedelta(seconds=3 * (i // 40)))
+            for i in range(400)]
+    source = fresh_folder(spark, "moves")
+    schema = "repo string, path string, ts timestamp"
+    for k in range(4):
+        spark.createDataFrame(rows[k * 100: (k + 1) * 100], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    path, log = fresh_folder(spark, "parts"), fresh_folder(spark, "parts-log")
+    ch.stream_bursts(stream, path, log, gap="300 milliseconds", lateness="2 seconds", splits=3).awaitTermination()
+    columns = ["repo", "first_change", "last_change", "changes"]
+    read = lambda df: sorted(tuple(r) for r in df.select(columns).collect())
+    want = read(ch.bursts(spark.read.schema(schema).parquet(source), "300 milliseconds"))
+    assert read(ch.streamed_bursts(spark, path, log, "300 milliseconds")) == want and len(want) > 10
+    closed = read(ch.streamed_bursts(spark, path, log, "300 milliseconds", closing=False))
+    assert 0 < len(closed) < len(want)
+    # A stream that goes on later takes up the state.
+    more = [("p", "x", max(r[2] for r in rows) + timedelta(milliseconds=100)), ("z", "x", start + timedelta(days=1))]
+    spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(source)
+    ch.stream_bursts(stream, path, log, gap="300 milliseconds", lateness="2 seconds", splits=3).awaitTermination()
+    want = read(ch.bursts(spark.read.schema(schema).parquet(source), "300 milliseconds"))
+    assert read(ch.streamed_bursts(spark, path, log, "300 milliseconds")) == want
+
+
 def test_bursts(spark):
     ms = lambda n: datetime(2024, 1, 1, 0, 0, 0, n * 1000)
     rows = [("r", "a", ms(0)), ("r", "b", ms(200)), ("r", "c", ms(449)), ("r", "d", ms(700)), ("r", ".gitignore", ms(600)),
             ("r", None, ms(500)), ("q", "x", ms(0))]
     changes = spark.createDataFrame(rows, "repo string, path string, ts timestamp")
-    for found in (ch.bursts(changes, buckets=3), ch.bursts(changes), ch.session_bursts(changes)):
+    for found in (ch.bursts(changes, buckets=3), ch.bursts(changes)):
         assert sorted((r.repo, r.changes) for r in found.collect()) == [("q", 1), ("r", 1), ("r", 3)]
