@@ -3,6 +3,11 @@
 Language identification drops texts without a language, exact deduplication and near
 deduplication keep one document of each group, decontamination drops documents that
 hold a passage of the benchmark, and the rest is encoded and decoded.
+
+In every stage: null and empty texts have no letter and go in the first one. Null identifiers are the least in exact
+deduplication and the last to stay in near deduplication. Rows that share identifier and text are copies, of which one
+stays. Texts of any length are read whole. An empty table gives an empty table, and an empty benchmark drops nothing. All
+stages but the last keep all columns, whatever their names; the last returns identifier, number of tokens and digests.
 """
 
 from __future__ import annotations
