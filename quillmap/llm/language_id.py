@@ -215,8 +215,8 @@ def predicted(network: Network, text: Column) -> Column:
 def accepted_documents(docs: DataFrame, text: str = "text", label: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text has a language that its labelled rows teach, with all their columns.
 
-    Rejected are null texts and those without a letter; an empty table, or one without
-    labels, leaves nothing to accept by and is returned as it is if no row has a label.
+    Rejected are null texts and those without a letter. A table without labels teaches no language; there
+    every text with a letter is accepted. An empty table stays empty.
     """
     network = train(docs, text, label)
     if not network.labels:

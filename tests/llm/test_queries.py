@@ -6,6 +6,7 @@ import os
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -61,3 +62,33 @@ def test_pipeline(spark, duck):
             want.append((k, len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), text))))
     got = sorted(tuple(r) for r in corpus_pipeline.run(spark, SF_DIR).collect())
     assert got == sorted(want) and 0 < len(got) < len(rows)
+
+
+AWKWARD = [
+    (1, "one two three four five six seven", "en"), (1, "one two three four five six seven", "en"), (None, "one two three four five six seven", None),
+    (None, "eight nine ten eleven twelve thirteen", "de"), (2, None, "en"), (3, "", None), (4, " 123 !", "de"), (5, "x" * 30_000, "en"),
+    (6, "the benchmark passage of ten words is in this text here and more follows after it", "en"), (7, "One Two three four five six seven", "en"),
+]
+
+
+@pytest.mark.parametrize("rows", [AWKWARD, []])
+def test_pipeline_on_awkward_rows(spark, tmp_path, rows):
+    schema = "doc_id long, text string, lang string"
+    clashing = ["near_key", "near_hash", "at_file", "at_row", "language", "hash", "id", "node", "item_id", "n_words"]
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    for name in clashing:
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = [("b", "benchmark passage of ten words is in this text here"), ("c", None), ("d", "")] if rows else []
+    spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        seen.append(sorted(str(r.doc_id) for r in docs.collect()))
+    if rows:
+        assert seen == [["1", "1", "5", "6", "7", "None", "None"], ["1", "5", "6", "7", "None"], ["1", "5", "6", "None"], ["1", "5", "None"]]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in got) == (seen[-1] if rows else [])
