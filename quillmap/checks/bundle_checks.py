@@ -536,8 +536,9 @@ def quiet_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of them; a stream takes a single file only by a pattern."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 @query("streamed_bursts", _BURSTS, ("changes",))

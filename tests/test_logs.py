@@ -2,9 +2,11 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 from helpers import apply
 from pyspark.sql import functions as F
 
+from quillmap.checks import QUERIES
 from quillmap.operators import board, journal, outline, purposes
 from quillmap.streaming import changes as ch
 from quillmap.plans.export import write_board
@@ -168,3 +170,23 @@ def test_bursts(spark):
     changes = spark.createDataFrame(rows, "repo string, path string, ts timestamp")
     for found in (ch.bursts(changes, buckets=3), ch.bursts(changes)):
         assert sorted((r.repo, r.changes) for r in found.collect()) == [("q", 1), ("r", 1), ("r", 3)]
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    rows = [(i, f"export const x{i} = 1;", "en", "src1") for i in range(40)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text"))
+    documents.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    events = [(i, i % 3, start_of(i), "click", 1.0) for i in range(30)]
+    events = spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, event_type string, value double")
+    events.repartition(3).write.parquet(f"{tmp_path}/folder/events.parquet")
+    (tmp_path / "file").mkdir()
+    for name, df in (("documents", documents), ("events", events)):
+        pq.write_table(df.toArrow(), f"{tmp_path}/file/{name}.parquet")
+    for name in ("streamed_index", "streamed_bursts"):
+        found = [sorted(map(tuple, QUERIES[name](spark, f"{tmp_path}/{kind}").collect()), key=str) for kind in ("folder", "file")]
+        assert found[0] == found[1] and found[0]
+    assert sum(r[-1] for r in found[0]) == 30
+
+
+def start_of(i):
+    return datetime(2024, 1, 1) + timedelta(hours=i)
