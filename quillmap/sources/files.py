@@ -34,6 +34,9 @@ PRUNED = [d for d in fx.IGNORED_DIRECTORIES if d != fx.STATE_DIRECTORY]
 #: Directories that a task lists before it hands those it has still to enter over to others.
 SHARE = 2_000
 
+#: Rows of a batch of listed files.
+_ROWS = 10_000
+
 _LEVEL = f"{_LISTED}, directory string"
 
 
@@ -54,9 +57,10 @@ def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED, share: int
     would be missing. Here tasks list the directories themselves, on any file system that Arrow
     can open. Directories named in ``pruned`` are not entered, at any depth, and links are not followed.
 
-    The frontier of pending directories is a table: each task lists up to ``share`` directories of its part and
-    what is below them, and hands the rest over, which is written and dealt out again. So one huge tree is listed by
-    all tasks, and small ones in one pass. There are as many passes as the largest tree needs.
+    The frontier of pending directories is a table: each task lists up to ``share`` directories, and all those of
+    its part in any case, and hands the rest over, which is written and dealt out again. So one huge tree is listed by
+    all tasks, and small ones in one pass. A directory is handed over once at most, and there are no more passes than
+    the deepest tree has levels.
 
     Only ``root`` is a URI; ``file`` is the plain path on its file system, so names
     may hold brackets, blanks or any other character.
@@ -66,24 +70,33 @@ def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED, share: int
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, tuple[FileSystem, str]] = {}
         left = share
+        found: list[tuple] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["root"] not in opened:
-                    fs, top = _open(row["root"])
-                    opened[row["root"]] = fs, top.rstrip("/")
-                fs, top = opened[row["root"]]
-                pending = [row["directory"] if row["directory"] is not None else top or "/"]
-                while pending and left > 0:
+                repo, root = row["repo"], row["root"]
+                if root not in opened:
+                    fs, top = _open(root)
+                    opened[root] = fs, top.rstrip("/")
+                fs, top = opened[root]
+                given = row["directory"] if row["directory"] is not None else top or "/"
+                pending, more = [given], True
+                while pending and more:
                     files, inner = list_directory(fs, pending.pop(), skipped)
+                    found += [(repo, e.path[len(top):].lstrip("/"), root, e.path, e.mtime, None) for e in files]
                     pending += inner
-                    left -= 1
-                    yield _listing(row, top, files)
-                yield _handed_over(row, pending)
+                    more = left > 0
+                    left -= more
+                    if len(found) >= _ROWS:
+                        yield _level_rows(found)
+                        found = []
+                found += [(repo, None, root, None, None, d) for d in pending]
+        if found:
+            yield _level_rows(found)
 
     frontier = repos.select("repo", "root", F.lit(None).cast("string").alias("directory"))
     found = []
     while True:
-        spread = frontier.repartition("repo", "root", "directory")
+        spread = frontier.repartition(_tasks(repos), "repo", "root", "directory")
         level = materialize(spread.mapInArrow(expand, _LEVEL), "listed-files")
         found.append(level.filter(F.col("directory").isNull()).drop("directory"))
         frontier = level.filter(F.col("directory").isNotNull()).select("repo", "root", "directory")
@@ -92,24 +105,20 @@ def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED, share: int
     return reduce(DataFrame.union, found).withColumn("path", forward_slashes(F.col("path")))
 
 
-_NAMES = ["repo", "path", "root", "file", "mtime", "directory"]
+def _tasks(df: DataFrame) -> int:
+    """Into how many parts paths are dealt. Named, since Spark would put few bytes of paths, whatever they cost, into one."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _listing(row: dict, top: str, files: list[FileInfo]) -> pa.RecordBatch:
-    n = len(files)
-    return pa.record_batch([
-        pa.array([row["repo"]] * n, pa.string()), pa.array([e.path[len(top):].lstrip("/") for e in files], pa.string()),
-        pa.array([row["root"]] * n, pa.string()), pa.array([e.path for e in files], pa.string()),
-        pa.array([e.mtime for e in files], pa.timestamp("us", "UTC")), pa.nulls(n, pa.string()),
-    ], _NAMES)
+_FIELDS = [
+    ("repo", pa.string()), ("path", pa.string()), ("root", pa.string()), ("file", pa.string()),
+    ("mtime", pa.timestamp("us", "UTC")), ("directory", pa.string()),
+]
 
 
-def _handed_over(row: dict, directories: list[str]) -> pa.RecordBatch:
-    n = len(directories)
-    return pa.record_batch([
-        pa.array([row["repo"]] * n, pa.string()), pa.nulls(n, pa.string()), pa.array([row["root"]] * n, pa.string()),
-        pa.nulls(n, pa.string()), pa.nulls(n, pa.timestamp("us", "UTC")), pa.array(directories, pa.string()),
-    ], _NAMES)
+def _level_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), _FIELDS)]
+    return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _FIELDS])
 
 
 def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -137,7 +146,7 @@ def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataF
                     contents, size, start = [], 0, i
 
     columns = [F.col("repo"), F.col("path")]
-    spread = listed.repartition(partitions, *columns) if partitions else listed.repartition(*columns)
+    spread = listed.repartition(partitions or _tasks(listed), *columns)
     return spread.select("repo", "path", "mtime", "root", "file").mapInArrow(
         read, "repo string, path string, mtime timestamp, content string"
     )

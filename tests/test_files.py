@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quillmap.checks import QUERIES, file_checks
 from quillmap.sources.files import list_repo_files, read_repo_files
 from quillmap.sources.repo_source import register
 
@@ -73,3 +74,30 @@ def test_filtered_files_are_not_opened(spark, tmp_path):
     assert opened(reader.load().where(F.col("repo").isin("none"))) == ([], set())
     assert opened(reader.load().where("path = 'lib/a.ts'")) == ([("r", "lib/a.ts")], {"r/lib/a.ts"})
     assert opened(reader.load().where("not path like '%.ts'")) == ([("r", "src/c.md")], {"r/src/c.md"})
+
+
+def test_a_wide_frontier_is_listed_in_one_more_pass(spark, tmp_path):
+    """Directories that were handed over are all listed by the next pass, by several tasks."""
+    for i in range(300):
+        (tmp_path / "wide" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "wide" / f"d{i}" / "a.ts").write_text(str(i))
+    repos = spark.createDataFrame([("wide", f"{tmp_path}/wide")], "repo string, root string")
+    listed = list_repo_files(repos, share=2)
+    folders = {r[0].rsplit("/", 1)[0] for r in listed.select(F.input_file_name()).distinct().collect()}
+    tasks = listed.groupBy(F.input_file_name()).count().collect()
+    assert listed.count() == 300 and len(folders) == 2 and len(tasks) > 3
+    contents = read_repo_files(repos)
+    assert sorted(int(r.content) for r in contents.collect()) == list(range(300))
+    assert contents.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_checked_trees_hold_a_file_for_each_key(spark, tmp_path):
+    """Repeated keys share a file, as in Spark's own layout, and tasks of several parts write."""
+    rows = [(i, f"s{i}", i % 3, 1.0) for i in range(40)] + [(7, "s7", 1, 1.0), (50, None, 2, 1.0)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = sorted([(f"org{i % 3}", i, f"s{i}\n" * (2 if i == 7 else 1)) for i in range(40)] + [("org2", 50, "\n")])
+    assert sorted(map(tuple, QUERIES["read_repo_files"](spark, str(tmp_path)).collect())) == want
+    kept = sorted(map(tuple, QUERIES["read_repo_source"](spark, str(tmp_path)).collect()))
+    assert kept == [r for r in want if str(r[1]).startswith("1")]
+    tree = file_checks._tree(spark, str(tmp_path))
+    assert sorted(os.listdir(tree)) == ["org=org0", "org=org1", "org=org2"] and os.listdir(f"{tree}/org=org1/s_suppkey=7") == ["part-00000.txt"]
