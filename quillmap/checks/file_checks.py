@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from quillmap.operators.extract.registry import extractor_enabled
 from quillmap.operators.extract.routes import app_url, below_src, pages_url
 from quillmap.plans.storage import fresh_folder
 from quillmap.sources import documents as docs
-from quillmap.sources.files import read_repo_files, source_files
+from quillmap.sources.files import _open, read_repo_files, source_files
 from quillmap.sources.repo_source import register
 
 TRIM_SET = f"'{fx.JS_WHITESPACE}'"
@@ -26,12 +29,29 @@ DIR_SQL = (
 
 # --- sources -----------------------------------------------------------------
 def _tree(spark: SparkSession, sf: str) -> str:
-    """A folder with one repository per nation and a file per supplier."""
+    """A folder with one repository per nation and a file per supplier.
+
+    Tasks write the files themselves: on a local disk Spark's own writer starts a process for each of them.
+    """
     root = fresh_folder(spark, "tree")
-    d.run_sql(
+    lines = d.run_sql(
         spark, sf,
-        "SELECT 'org' || CAST(s_nationkey AS STRING) AS org, s_suppkey, s_name AS value FROM supplier",
-    ).repartition("org", "s_suppkey").write.partitionBy("org", "s_suppkey").text(root)
+        "SELECT 'org' || CAST(s_nationkey AS STRING) AS org, s_suppkey, coalesce(s_name, '') || chr(10) AS line FROM supplier",
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "org", "s_suppkey")
+    files = lines.groupBy("org", "s_suppkey").agg(F.array_join(F.collect_list("line"), "").alias("content"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = _open(root)
+        for batch in batches:
+            for row in batch.to_pylist():
+                org, key = ("__HIVE_DEFAULT_PARTITION__" if row[c] is None else row[c] for c in ("org", "s_suppkey"))
+                folder = f"{top}/org={org}/s_suppkey={key}"
+                fs.create_dir(folder, recursive=True)
+                with fs.open_output_stream(f"{folder}/part-00000.txt") as out:
+                    out.write(row["content"].encode())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    files.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
     return root
 
 
