@@ -39,48 +39,76 @@ _START = "\x02"
 Batches = Iterator[pa.RecordBatch]
 
 
-def _unique_rows(codes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams of a row of codes as positions of one of each, in order of their codes, and which of them ends where."""
-    size = int(codes.max(initial=0)) + 1
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Values as their places among the different ones in order, and how many those are. One hash table and no sort of all."""
+    encoded = pa.array(values).dictionary_encode()
+    different = encoded.dictionary.to_numpy(zero_copy_only=False)
+    ranks = np.empty(len(different), np.int32)
+    ranks[np.argsort(different)] = np.arange(len(different), dtype=np.int32)
+    return ranks[encoded.indices.to_numpy(zero_copy_only=False)], len(different)
+
+
+def _unique_rows(codes: np.ndarray, size: int, order: int) -> tuple[np.ndarray, int]:
+    """The different n-grams of a row of codes below ``size`` in order of their codes: which of them begins where, and their number."""
     n = len(codes) - order + 1
     grams = codes[:n].astype(np.int64)
     span = size
     for j in range(1, order):
         if span * size >= 1 << 62:
             # Too many for one number: those that occur are numbered anew, in the same order.
-            grams = np.unique(grams, return_inverse=True)[1]
-            span = int(grams.max(initial=0)) + 1
-        grams = grams * size + codes[j: j + n]
+            which, span = _numbered(grams)
+            grams = which.astype(np.int64)
+        grams *= size
+        grams += codes[j: j + n]
         span *= size
-    _, first, which = np.unique(grams, return_index=True, return_inverse=True)
-    return first, which
+    return _numbered(grams)
 
 
-def grams_of(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The different n-grams that end in a character of a text, which of them ends at each character, text after text,
-    and the number of characters of each text."""
+def _gram_rows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the different n-grams that end in a character of a text, a row each, which of them ends at each
+    character, text after text, and the number of characters of each text."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    padded = "".join(_START * (order - 1) + t for t in texts)
-    points = np.frombuffer(padded.encode("utf-32-le", "replace"), "<u4")
     if not sizes.sum():
-        return [], np.zeros(0, np.int64), sizes
-    _, codes = np.unique(points, return_inverse=True)
-    first, which = _unique_rows(codes, order)
+        return np.zeros((0, order), np.uint32), np.zeros(0, np.int32), sizes
+    points = np.frombuffer("".join(_START * (order - 1) + t for t in texts).encode("utf-32-le", "replace"), "<u4")
+    occurs = np.zeros(int(points.max()) + 1, bool)
+    occurs[points] = True
+    alphabet = np.flatnonzero(occurs)
+    place = np.zeros(len(occurs), np.int32)
+    place[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    codes = place[points]
+    which, count = _unique_rows(codes, len(alphabet), order)
+    del codes
     # The n-gram at place p ends in p + order - 1; those that end in a start are of no text.
     ends = np.cumsum(sizes + order - 1)
     inside = np.ones(len(which), bool)
     for k in range(order - 1):
         gone = ends[:-1] + k - (order - 1)
         inside[gone[gone >= 0]] = False
-    gaps = np.arange(len(which))[inside]
-    used = np.unique(which[gaps])
-    renumbered = np.zeros(len(first), np.int64)
-    renumbered[used] = np.arange(len(used))
-    rows = points[first[used][:, None] + np.arange(order)]
-    grams = np.ascontiguousarray(rows).astype("<u4").view(f"<U{order}").ravel().tolist()
-    # NumPy drops zeros at the end of a string.
-    grams = [g + "\0" * (order - len(g)) for g in grams]
-    return grams, renumbered[which[gaps]], sizes
+    # Any place where an n-gram stands will do to read it.
+    at = np.full(count, -1, np.int32 if len(points) < 1 << 31 else np.int64)
+    at[which[inside]] = np.flatnonzero(inside).astype(at.dtype)
+    used = at >= 0
+    renumbered = np.cumsum(used, dtype=np.int32) - 1
+    rows = np.empty((int(used.sum()), order), np.uint32)
+    for k in range(order):
+        rows[:, k] = points[at[used] + k]
+    return rows, renumbered[which[inside]], sizes
+
+
+def _strings(rows: np.ndarray) -> pa.Array:
+    """Rows of code points as an Arrow array, without a Python string for each."""
+    data = np.ascontiguousarray(rows).astype("<u4").tobytes().decode("utf-32-le", "replace").encode()
+    widths = 1 + (rows >= 0x80).sum(1, dtype=np.int64) + (rows >= 0x800).sum(1) + (rows >= 0x10000).sum(1) + rows.shape[1] - 1
+    offsets = np.concatenate([[0], np.cumsum(widths)])
+    return pa.Array.from_buffers(pa.large_string(), len(rows), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)]).cast(pa.string())
+
+
+def grams_of(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different n-grams that end in a character of a text, which of them ends at each character, text after text,
+    and the number of characters of each text."""
+    rows, which, sizes = _gram_rows(texts, order)
+    return _strings(rows).to_pylist(), which, sizes
 
 
 _BLOCK = "block bigint, id {id}, text string, place int, gram string, target bigint, background bigint"
@@ -104,17 +132,20 @@ def _blocks(schema: pa.Schema, portion: int) -> Callable[[Batches], Batches]:
         task = TaskContext.get().partitionId()
         for nth, (ids, texts, good) in enumerate(portions(batches)):
             block = (task << 32) + nth
-            grams, which, sizes = grams_of(texts)
-            target = np.bincount(which[np.repeat(np.array(good, bool), sizes)], minlength=len(grams))
-            background = np.bincount(which, minlength=len(grams))
-            n, m = len(texts), len(grams)
+            rows, which, sizes = _gram_rows(texts, ORDER)
+            n, m = len(texts), len(rows)
+            background = np.bincount(which, minlength=m)
+            target = np.bincount(which[np.repeat(np.array(good, bool), sizes)], minlength=m)
+            del which
+            grams = _strings(rows)
+            del rows
             rows = {
                 "block": [block] * n, "id": ids, "text": texts, "place": pa.nulls(n), "gram": pa.nulls(n), "target": pa.nulls(n), "background": pa.nulls(n),
             }
             yield pa.RecordBatch.from_arrays([pa.array(v).cast(schema.field(k).type) for k, v in rows.items()], schema=schema)
             rows = {
                 "block": np.full(m, block), "id": pa.nulls(m), "text": pa.nulls(m), "place": np.arange(m, dtype=np.int32),
-                "gram": pa.array(grams, pa.string()), "target": target, "background": background,
+                "gram": grams, "target": target, "background": background,
             }
             yield pa.RecordBatch.from_arrays([pa.array(v).cast(schema.field(k).type) for k, v in rows.items()], schema=schema)
 
@@ -144,13 +175,13 @@ def models(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataF
 
 def _scores(texts: pa.Table, losses: pa.Table) -> pa.Table:
     """Texts of one block with the means of their tokens' losses; ``losses`` has those of the block's n-grams by place."""
-    _, which, sizes = grams_of([t or "" for t in texts.column("text").to_pylist()])
+    _, which, sizes = _gram_rows([t or "" for t in texts.column("text").to_pylist()], ORDER)
     order = np.argsort(losses.column("place").to_numpy())
     ends = np.cumsum(sizes)
     means = []
     for kind in ("target", "background"):
-        loss = losses.column(f"loss_{kind}").to_numpy()[order]
-        sums = np.concatenate([[0.0], np.cumsum(loss[which])])
+        sums = np.zeros(len(which) + 1)
+        np.cumsum(losses.column(f"loss_{kind}").to_numpy()[order][which], out=sums[1:])
         with np.errstate(invalid="ignore"):
             means.append((sums[ends] - sums[ends - sizes]) / sizes)
     columns = [pa.array(m, pa.float64(), mask=sizes == 0) for m in (*means, means[0] - means[1])]

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -103,3 +104,16 @@ def test_query(spark):
     df = QUERIES["op6_lm_scoring"](spark, SF_DIR)
     assert df.columns[0] == "doc_id"
     same([tuple(r) for r in df.collect()], expected(rows, good))
+
+
+def test_memory_of_a_block():
+    """Arrays of a block are bounded by its characters; sorting copies of all n-grams would need twice as much."""
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abc é") for _ in range(400_000))
+    lm.grams_of(["ab"])  # what is imported late does not count
+    tracemalloc.start()
+    names, which, sizes = lm.grams_of([text, "x"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [names[i] for i in which[:50]] == grams(text)[:50] and len(which) == sum(sizes) == 400_001
+    assert peak < 45 * len(text)
