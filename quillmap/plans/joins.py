@@ -40,6 +40,11 @@ def join_by_repo(
     return join_by_key(facts, dimension, ["repo"], spread, how)
 
 
+def tasks(df: DataFrame) -> int:
+    """Into how many parts rows are dealt whose work does not go by their bytes: named, since Spark puts few bytes into one part."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A written table of narrow rows, with a broadcast hint if a count shows at most ``rows`` of them."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
 from quillmap.functions.text import forward_slashes
+from quillmap.plans.joins import tasks
 from quillmap.plans.storage import materialize
 
 _ANY_DIRECTORY = "|".join(d.replace(".", r"\.") for d in fx.IGNORED_DIRECTORIES)
@@ -96,7 +97,7 @@ def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED, share: int
     frontier = repos.select("repo", "root", F.lit(None).cast("string").alias("directory"))
     found = []
     while True:
-        spread = frontier.repartition(_tasks(repos), "repo", "root", "directory")
+        spread = frontier.repartition(tasks(repos), "repo", "root", "directory")
         level = materialize(spread.mapInArrow(expand, _LEVEL), "listed-files")
         found.append(level.filter(F.col("directory").isNull()).drop("directory"))
         frontier = level.filter(F.col("directory").isNotNull()).select("repo", "root", "directory")
@@ -105,11 +106,6 @@ def list_repo_files(repos: DataFrame, pruned: Sequence[str] = PRUNED, share: int
     return reduce(DataFrame.union, found).withColumn("path", forward_slashes(F.col("path")))
 
 
-def _tasks(df: DataFrame) -> int:
-    """Into how many parts paths are dealt. Named, since Spark would put few bytes of paths, whatever they cost, into one."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 _FIELDS = [
     ("repo", pa.string()), ("path", pa.string()), ("root", pa.string()), ("file", pa.string()),
     ("mtime", pa.timestamp("us", "UTC")), ("directory", pa.string()),
@@ -146,7 +142,7 @@ def read_listed_files(listed: DataFrame, partitions: int | None = None) -> DataF
                     contents, size, start = [], 0, i
 
     columns = [F.col("repo"), F.col("path")]
-    spread = listed.repartition(partitions or _tasks(listed), *columns)
+    spread = listed.repartition(partitions or tasks(listed), *columns)
     return spread.select("repo", "path", "mtime", "root", "file").mapInArrow(
         read, "repo string, path string, mtime timestamp, content string"
     )

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from quillmap.plans.joins import small_side
+from quillmap.plans.joins import small_side, tasks
 from quillmap.plans.storage import materialize
 
 #: Characters of a chunk.
@@ -36,6 +36,9 @@ _BRACKETS, _STRUCTURE = (np.isin(np.arange(256), list(chars)) for chars in (b"{}
 
 Batches = Iterator[pa.RecordBatch]
 
+#: A batch of rows made in Python ends after so many rows or characters.
+_ROWS, _CHARS = 10_000, 8 << 20
+
 
 class JsonDocuments(NamedTuple):
     """``heads``: ``repo, doc, kind, kinds, texts``, one row per document. ``kind`` is that of the whole document, NULL
@@ -109,22 +112,37 @@ def document_chunks(documents: DataFrame, value: str, size: int = CHUNK) -> Data
 
     def cut(batches: Batches) -> Batches:
         for batch in batches:
+            source: list[int] = []
+            places: list[int] = []
+            rows: list[str] = []
+            held = 0
+
+            def done() -> pa.RecordBatch:
+                of = pa.array(source, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(of) for c in ("repo", "doc")), pa.array(places, pa.int64()), pa.array(rows, pa.string())],
+                    names=["repo", "doc", "at", "text"])
+
             for i, text in enumerate(batch.column("value")):
-                text, rows, start = text.as_py(), [], 0
-                while not rows or start < len(text):
+                text, start, at = text.as_py(), 0, 0
+                while not at or start < len(text):
                     end = start + size
                     while text[end - 1: end] == "\\":
                         end += 1
+                    source.append(i)
+                    places.append(at)
                     rows.append(text[start:end])
-                    start = end
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(c)[i].as_py()] * n, batch.column(c).type) for c in ("repo", "doc")]
-                    + [pa.array(range(n), pa.int64()), pa.array(rows, pa.string())], names=["repo", "doc", "at", "text"])
+                    held += len(rows[-1])
+                    start, at = end, at + 1
+                    if len(rows) >= _ROWS or held >= _CHARS:
+                        yield done()
+                        source, places, rows, held = [], [], [], 0
+            if rows:
+                yield done()
 
     given = documents.select("repo", F.monotonically_increasing_id().alias("doc"), F.coalesce(F.col(value), F.lit("")).alias("value"))
     repo = given.schema["repo"].dataType.simpleString()
-    return given.mapInArrow(cut, f"repo {repo}, doc bigint, at bigint, text string")
+    return given.repartition(tasks(given), "doc").mapInArrow(cut, f"repo {repo}, doc bigint, at bigint, text string")
 
 
 def _outside(data: np.ndarray, inside: bool) -> tuple[np.ndarray, bool]:
@@ -177,20 +195,65 @@ _SUMMARY = "doc bigint, at bigint, odd boolean, closes_out string, opens_out str
 _BEGINNING = "doc bigint, at bigint, inside boolean, open string, fits boolean"
 
 
-def _beginnings(group: pa.Table) -> pa.Table:
+def _by_document(fn: Callable[[list[dict]], list[tuple]], fields: list[tuple[str, pa.DataType]]) -> Callable[[Batches], Batches]:
+    """Apply ``fn`` to the rows of each document. Rows come in order of documents and chunks, and many documents
+    go through one call, since a group of Spark's for each of many small ones costs far more than its rows."""
+
+    def documents(batches: Batches) -> Iterator[list[dict]]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["doc"] != row["doc"]:
+                    yield held
+                    held = []
+                held.append(row)
+        if held:
+            yield held
+
+    def run(batches: Batches) -> Batches:
+        return _in_batches((row for held in documents(batches) for row in fn(held)), fields)
+
+    return run
+
+
+def _in_batches(rows: Iterator[tuple], fields: list[tuple[str, pa.DataType]], text: int | None = None) -> Batches:
+    """Rows as batches of bounded size; ``text`` is the place of a column of long texts."""
+    held: list[tuple] = []
+    chars = 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held), fields)], names=[n for n, _ in fields])
+
+    for row in rows:
+        held.append(row)
+        chars += len(row[text] or "") if text is not None else 0
+        if len(held) >= _ROWS or chars >= _CHARS:
+            yield done()
+            held, chars = [], 0
+    if held:
+        yield done()
+
+
+def _each_document(df: DataFrame, fn: Callable[[list[dict]], list[tuple]], fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
+    """``fn`` over all rows of each ``doc`` in order of ``at``; no document is in two parts."""
+    return df.repartition(tasks(df), "doc").sortWithinPartitions("doc", "at").mapInArrow(_by_document(fn, fields), ddl)
+
+
+_BEGINNING_FIELDS = [("doc", pa.int64()), ("at", pa.int64()), ("inside", pa.bool_()), ("open", pa.string()), ("fits", pa.bool_())]
+
+
+def _beginnings(chunks: list[dict]) -> list[tuple]:
     """What each chunk of a document begins in, and whether all brackets of the document match."""
     rows, inside, stack, fits = [], False, "", True
-    for r in group.sort_by("at").to_pylist():
-        rows.append([r["doc"], r["at"], inside, stack])
+    for r in chunks:
+        rows.append((r["doc"], r["at"], inside, stack))
         closes, opens = (r["closes_in"], r["opens_in"]) if inside else (r["closes_out"], r["opens_out"])
         # Closed brackets are listed from the innermost outwards.
         fits = fits and closes is not None and stack.endswith(closes[::-1])
         stack = stack[: len(stack) - len(closes)] + opens if fits else ""
         inside ^= r["odd"]
     fits = fits and not inside and not stack
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_()]
-    columns = [*zip(*rows), [fits] * len(rows)]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["doc", "at", "inside", "open", "fits"])
+    return [(*r, fits) for r in rows]
 
 
 # --- splitting a chunk ---------------------------------------------------------
@@ -264,13 +327,16 @@ def _pieces(batches: Batches) -> Batches:
     """Pieces of elements, and for each chunk one row with its part of the head."""
     fields = [("doc", pa.int64()), ("at", pa.int64()), ("arr", pa.int32()), ("nth", pa.int64()), ("text", pa.string()),
               ("ends", pa.bool_()), ("closes", pa.bool_()), ("head", pa.list_(pa.string())), ("since", pa.int64())]
-    for batch in batches:
-        for row in batch.to_pylist():
-            doc, at = row["doc"], row["at"]
-            split = split_chunk(row["text"], row["inside"], row["open"])
-            rows = [(doc, at, *p, None, None) for p in split.pieces]
-            rows.append((doc, at, None, None, None, None, None, split.head, split.left))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                doc, at = row["doc"], row["at"]
+                split = split_chunk(row["text"], row["inside"], row["open"])
+                yield from ((doc, at, *p, None, None) for p in split.pieces)
+                yield doc, at, None, None, None, None, None, split.head, split.left
+
+    return _in_batches(rows(), fields, text=4)
 
 
 # --- putting documents together --------------------------------------------------
@@ -290,18 +356,26 @@ def _paths(value: object, path: list[str]) -> Iterator[tuple[int, list[str]]]:
             yield from _paths(child, [*path, key.encode("utf-8", "replace").decode()])
 
 
-def _assembled(group: pa.Table) -> pa.Table:
+_WORDS = pa.map_(pa.string(), pa.string())
+_ARRAY_FIELDS = [
+    *((name, pa.int64()) for name in ("doc", "at", "first", "current", "before", "number")),
+    ("path", pa.list_(pa.string())), ("kind", pa.string()), ("kinds", _WORDS), ("texts", _WORDS),
+]
+
+
+def _assembled(parts: list[dict]) -> list[tuple]:
     """From the head parts of a document: where the chunks' arrays come in the document, what leads to each, and the head."""
     text, rows, arrays, before, within = [], [], 0, 0, False
+    doc = parts[0]["doc"]
 
     def begin_array() -> None:
         nonlocal arrays
         text.append(str(arrays))
         arrays += 1
 
-    for r in group.sort_by("at").to_pylist():
-        doc, head, left = r["doc"], r["head"], r["since"]
-        rows.append({"doc": doc, "at": r["at"], "first": arrays, "current": arrays - 1, "before": before})
+    for r in parts:
+        head, left = r["head"], r["since"]
+        rows.append((doc, r["at"], arrays, arrays - 1, before, None, None, None, None, None))
         text.append(head[0])
         for n, part in enumerate(head[1:]):
             if n or not within:
@@ -314,15 +388,12 @@ def _assembled(group: pa.Table) -> pa.Table:
             before += left
         within = left is not None
     value = _parse("".join(text))
+    none = (None,) * 4
     if value is _MALFORMED:
-        rows.append({"doc": doc})
-    else:
-        texts = [(k, t) for k, v in value.items() if (t := _text(v)) is not None] if isinstance(value, dict) else []
-        rows.append({"doc": doc, "kind": _kind(value), "kinds": _kinds(value), "texts": texts})
-        rows += [{"doc": doc, "number": n, "path": path} for n, path in _paths(value, [])]
-    words = pa.map_(pa.string(), pa.string())
-    places = [(name, pa.int64()) for name in ("doc", "at", "first", "current", "before", "number")]
-    return pa.Table.from_pylist(rows, pa.schema([*places, ("path", pa.list_(pa.string())), ("kind", pa.string()), ("kinds", words), ("texts", words)]))
+        return [*rows, (doc, *none, None, *none)]
+    texts = [(k, t) for k, v in value.items() if (t := _text(v)) is not None] if isinstance(value, dict) else []
+    rows.append((doc, *none, None, None, _kind(value), _kinds(value), texts))
+    return rows + [(doc, *none, n, path, None, None, None) for n, path in _paths(value, [])]
 
 
 def _checked(batches: Batches) -> Batches:
@@ -339,11 +410,11 @@ def read_json(documents: DataFrame, value: str = "value", size: int = CHUNK) ->
     documents of their own. Of keys that occur twice in an object the last counts."""
     chunks = materialize(document_chunks(documents, value, size), "json-chunks")
     summaries = chunks.select("doc", "at", "text").mapInArrow(_summaries, _SUMMARY)
-    begins = materialize(summaries.groupBy("doc").applyInArrow(_beginnings, _BEGINNING), "json-beginnings")
+    begins = materialize(_each_document(summaries, _beginnings, _BEGINNING_FIELDS, _BEGINNING), "json-beginnings")
     begun = chunks.select("doc", "at", "text").join(small_side(begins.where("fits").drop("fits")), ["doc", "at"])
     pieces = materialize(begun.mapInArrow(_pieces, _PIECE), "json-pieces")
     parts = pieces.where("head is not null").select("doc", "at", "head", "since")
-    found = materialize(parts.groupBy("doc").applyInArrow(_assembled, _ARRAYS), "json-heads")
+    found = materialize(_each_document(parts, _assembled, _ARRAY_FIELDS, _ARRAYS), "json-heads")
 
     earlier = F.col("arr") == 0
     goes_on = earlier & (F.col("nth") == 0)

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,18 @@ def test_tasks_are_read_one_by_one(spark):
     texts = [(1, f"[{task}, 7]"), (2, f"[{task}"), (3, task), (4, f" [ {task} ] "), (5, f"[{task},]"), (6, None)]
     got = read_tasks(spark.createDataFrame(texts, "repo int, text string")).select("repo", "id", "suited").collect()
     assert sorted(tuple(r) for r in got) == [(1, "t-001", []), (4, "t-001", [])]
+
+
+def test_many_small_documents(spark):
+    """They are dealt out although their bytes are few, and go through a call together, not each in a group of its own."""
+    df = spark.createDataFrame([(i, f'[{{"id": "t-{i}"}}]') for i in range(2000)], "repo int, text string").coalesce(1)
+    chunks = je.document_chunks(df, "text")
+    assert chunks.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(i // 2, i % 2, i % 2 == 0, "", "[" if i % 2 == 0 else "", "]", "") for i in range(5000)]
+    names = ["doc", "at", "odd", "closes_out", "opens_out", "closes_in", "opens_in"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    # The last document of the first batch goes on in the second.
+    found = list(je._by_document(je._beginnings, je._BEGINNING_FIELDS)(iter([batch.slice(0, 2501), batch.slice(2501)])))
+    assert len(found) == 1 and found[0].column("doc").to_pylist() == [r[0] for r in rows]
+    assert found[0].column("inside").to_pylist() == [False, True] * 2500 and not any(found[0].column("fits").to_pylist())
+    assert sorted(r.id for r in read_tasks(df).collect()) == sorted(f"t-{i}" for i in range(2000))
