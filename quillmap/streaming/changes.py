@@ -13,6 +13,7 @@ from quillmap.operators import ignore, snapshot
 from quillmap.operators.extract.base import Extractor
 from quillmap.operators.extract.registry import BUILT_IN, apply_gates, extract_ungated
 from quillmap.plans.joins import earlier_ranges, join_by_key, with_ranges
+from quillmap.plans.storage import materialize
 from quillmap.sources.files import source_files
 from quillmap.streaming.parts import OPEN_PARTS, PART, BurstParts
 
@@ -122,7 +123,8 @@ def streamed_bursts(spark: SparkSession, path: str, checkpoint: str, gap: str =
         left = state.select(F.col("key.repo").alias("repo"), F.col("list_element.*"))
         parts = parts.unionByName(left)
     times = [F.timestamp_micros(c).alias(c) for c in ("first_change", "last_change")]
-    return merged_bursts(parts.select("repo", *times, "changes"), gap)
+    # Reading the state opens all its stores, and putting bursts together reads the parts several times.
+    return merged_bursts(materialize(parts.select("repo", *times, "changes"), "burst-parts"), gap)
 
 
 def current_index(

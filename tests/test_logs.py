@@ -1,6 +1,7 @@
 import json
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 from helpers import apply
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmap.checks import QUERIES
 from quillmap.operators import board, journal, outline, purposes
 from quillmap.streaming import changes as ch
+from quillmap.streaming.parts import BurstParts
 from quillmap.plans.export import write_board
 from quillmap.plans.storage import fresh_folder
 
@@ -190,3 +192,32 @@ def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
 
 def start_of(i):
     return datetime(2024, 1, 1) + timedelta(hours=i)
+
+
+class Handle:
+    """State and timers of one key, with a count of the calls."""
+
+    def __init__(self):
+        self.parts, self.timers, self.calls = [], set(), 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "getListState": lambda *_: self, "get": lambda: iter(list(self.parts)), "put": lambda v: self.parts.__setitem__(slice(None), v),
+            "clear": self.parts.clear, "registerTimer": self.timers.add, "deleteTimer": self.timers.remove, "listTimers": lambda: iter(sorted(self.timers)),
+        }[name]
+
+
+def test_parts_of_a_key_cost_few_calls(spark):
+    parts, handle, mark = BurstParts(100), Handle(), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    parts.init(handle)
+    at = lambda ms: SimpleNamespace(ts=datetime.fromtimestamp(ms / 1000))
+    list(parts.handleInputRows(("r", 0), iter([at(1000 * i) for i in range(50)]), mark))
+    assert len(handle.parts) == 50 and handle.calls <= 6 and handle.timers == {101}
+    list(parts.handleInputRows(("r", 0), iter([at(-50), at(90)]), mark))
+    assert handle.timers == {191} and len(handle.parts) == 50
+    handle.calls, now = 0, SimpleNamespace(getCurrentWatermarkInMs=lambda: 30_050)
+    out = list(parts.handleExpiredTimer(("r", 0), now, SimpleNamespace(getExpiryTimeInMs=lambda: 191)))
+    assert [(r.first_change, r.last_change, r.changes) for r in out[:2]] == [(-50_000, 90_000, 3), (1_000_000, 1_000_000, 1)]
+    # What ends at 30 s can still go on; its timer takes the place of the one that expired.
+    assert len(out) == 30 and len(handle.parts) == 20 and handle.calls <= 3 and 30_101 in handle.timers
