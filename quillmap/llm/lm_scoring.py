@@ -33,35 +33,48 @@ PRIOR = 4.0
 #: Characters of a block; a longer text is a block of its own.
 PORTION = 8 << 20
 
+#: Places dealt with at a time where an array of them would be wide.
+_SLICE = 1 << 20
+
 #: It stands before the first character of a text, for as many as an n-gram needs.
 _START = "\x02"
 
 Batches = Iterator[pa.RecordBatch]
 
 
-def _numbered(values: np.ndarray) -> tuple[np.ndarray, int]:
-    """Values as their places among the different ones in order, and how many those are. One hash table and no sort of all."""
-    encoded = pa.array(values).dictionary_encode()
-    different = encoded.dictionary.to_numpy(zero_copy_only=False)
-    ranks = np.empty(len(different), np.int32)
-    ranks[np.argsort(different)] = np.arange(len(different), dtype=np.int32)
-    return ranks[encoded.indices.to_numpy(zero_copy_only=False)], len(different)
+def _slices(n: int) -> list[slice]:
+    return [slice(a, min(a + _SLICE, n)) for a in range(0, n, _SLICE)]
+
+
+def _longer(begun: np.ndarray, codes: np.ndarray, new: range, size: int, n: int) -> tuple[np.ndarray, int]:
+    """Numbered beginnings of ``n`` n-grams and the places of their next codes to the longer ones, numbered in order.
+    Only a slice of them is held as wide numbers at a time."""
+    which, found = np.empty(n, np.int32), []
+    for part in _slices(n):
+        grams = begun[part].astype(np.int64)
+        for j in new:
+            grams *= size
+            grams += codes[part.start + j: part.stop + j]
+        encoded = pa.array(grams).dictionary_encode()
+        found.append(encoded.dictionary.to_numpy(zero_copy_only=False))
+        which[part] = encoded.indices.to_numpy(zero_copy_only=False)
+    different = np.unique(np.concatenate(found))
+    for part, own in zip(_slices(n), found):
+        which[part] = np.searchsorted(different, own).astype(np.int32)[which[part]]
+    return which, len(different)
 
 
 def _unique_rows(codes: np.ndarray, size: int, order: int) -> tuple[np.ndarray, int]:
     """The different n-grams of a row of codes below ``size`` in order of their codes: which of them begins where, and their number."""
-    n = len(codes) - order + 1
-    grams = codes[:n].astype(np.int64)
-    span = size
-    for j in range(1, order):
-        if span * size >= 1 << 62:
-            # Too many for one number: those that occur are numbered anew, in the same order.
-            which, span = _numbered(grams)
-            grams = which.astype(np.int64)
-        grams *= size
-        grams += codes[j: j + n]
-        span *= size
-    return _numbered(grams)
+    which, span, done = codes, size, 1
+    while done < order:
+        # As many codes as one number holds.
+        wide, end = span, done
+        while end < order and wide * size < 1 << 62:
+            wide, end = wide * size, end + 1
+        which, span = _longer(which, codes, range(done, end), size, len(codes) - order + 1)
+        done = end
+    return which, span
 
 
 def _gram_rows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,12 +86,12 @@ def _gram_rows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np
     points = np.frombuffer("".join(_START * (order - 1) + t for t in texts).encode("utf-32-le", "replace"), "<u4")
     occurs = np.zeros(int(points.max()) + 1, bool)
     occurs[points] = True
-    alphabet = np.flatnonzero(occurs)
-    place = np.zeros(len(occurs), np.int32)
-    place[alphabet] = np.arange(len(alphabet), dtype=np.int32)
+    alphabet = np.flatnonzero(occurs).astype(np.uint32)
+    place = np.zeros(len(occurs), np.min_scalar_type(len(alphabet)))
+    place[alphabet] = np.arange(len(alphabet))
     codes = place[points]
+    del points
     which, count = _unique_rows(codes, len(alphabet), order)
-    del codes
     # The n-gram at place p ends in p + order - 1; those that end in a start are of no text.
     ends = np.cumsum(sizes + order - 1)
     inside = np.ones(len(which), bool)
@@ -86,14 +99,26 @@ def _gram_rows(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np
         gone = ends[:-1] + k - (order - 1)
         inside[gone[gone >= 0]] = False
     # Any place where an n-gram stands will do to read it.
-    at = np.full(count, -1, np.int32 if len(points) < 1 << 31 else np.int64)
-    at[which[inside]] = np.flatnonzero(inside).astype(at.dtype)
+    at = np.full(count, -1, np.int64)
+    for part in _slices(len(which)):
+        chosen = np.flatnonzero(inside[part])
+        at[which[part][chosen]] = chosen + part.start
     used = at >= 0
-    renumbered = np.cumsum(used, dtype=np.int32) - 1
-    rows = np.empty((int(used.sum()), order), np.uint32)
-    for k in range(order):
-        rows[:, k] = points[at[used] + k]
-    return rows, renumbered[which[inside]], sizes
+    rows = alphabet[codes[at[used][:, None] + np.arange(order)]]
+    del codes
+    renumbered = np.cumsum(used, dtype=np.int32) - np.int32(1)
+    which = which[inside]
+    for part in _slices(len(which)):
+        which[part] = renumbered[which[part]]
+    return rows, which, sizes
+
+
+def _counts(which: np.ndarray, m: int, chosen: np.ndarray | None = None) -> np.ndarray:
+    """How often each number below ``m`` occurs, or does so where ``chosen`` holds."""
+    counts = np.zeros(m, np.int64)
+    for part in _slices(len(which)):
+        counts += np.bincount(which[part] if chosen is None else which[part][chosen[part]], minlength=m)
+    return counts
 
 
 def _strings(rows: np.ndarray) -> pa.Array:
@@ -134,8 +159,8 @@ def _blocks(schema: pa.Schema, portion: int) -> Callable[[Batches], Batches]:
             block = (task << 32) + nth
             rows, which, sizes = _gram_rows(texts, ORDER)
             n, m = len(texts), len(rows)
-            background = np.bincount(which, minlength=m)
-            target = np.bincount(which[np.repeat(np.array(good, bool), sizes)], minlength=m)
+            background = _counts(which, m)
+            target = _counts(which, m, np.repeat(np.array(good, bool), sizes))
             del which
             grams = _strings(rows)
             del rows
