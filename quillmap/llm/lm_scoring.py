@@ -9,7 +9,8 @@ under the background model; lower is more like the target.
 
 Documents are dealt with in blocks. A block counts its own n-grams, so what is shuffled is at most one row for each
 n-gram of a block. Summed rows are the models, kept as a table. The losses are joined back to the rows of the
-blocks by n-gram, and meet the texts by block, which is a portion of bounded size.
+blocks by n-gram, and meet the texts by block, which is a portion of bounded size. The texts of a block are one
+compressed row, since they are both stored and shuffled.
 """
 
 from __future__ import annotations
@@ -136,11 +137,32 @@ def grams_of(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarra
     return _strings(rows).to_pylist(), which, sizes
 
 
-_BLOCK = "block bigint, id {id}, text string, place int, gram string, target bigint, background bigint"
+def _packed(texts: list[str]) -> bytes:
+    """Texts one after the other, compressed together."""
+    sink = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(sink, "zstd") as out:
+        for text in texts:
+            out.write(text.encode())
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes | pa.Buffer, sizes: list[int]) -> list[str]:
+    """The texts of ``sizes`` characters that were compressed together."""
+    with pa.CompressedInputStream(pa.BufferReader(packed), "zstd") as held:
+        whole = held.read().decode()
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [whole[end - size: end] for end, size in zip(ends, sizes)]
+
+
+_BLOCK = "block bigint, ids array<{id}>, sizes array<int>, texts binary, place int, gram string, target bigint, background bigint"
+
+
+def _batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v).cast(schema.field(k).type) for k, v in columns.items()], schema=schema)
 
 
 def _blocks(schema: pa.Schema, portion: int) -> Callable[[Batches], Batches]:
-    """Texts with their block, and one row for each n-gram of the block."""
+    """One row for the texts of a block, and one for each n-gram of it."""
 
     def portions(batches: Batches) -> Iterator[tuple[pa.Array, list[str], list[bool]]]:
         for batch in batches:
@@ -157,22 +179,23 @@ def _blocks(schema: pa.Schema, portion: int) -> Callable[[Batches], Batches]:
         task = TaskContext.get().partitionId()
         for nth, (ids, texts, good) in enumerate(portions(batches)):
             block = (task << 32) + nth
+            whole = {
+                "block": [block], "ids": pa.ListArray.from_arrays([0, len(ids)], ids), "sizes": [[len(t) for t in texts]],
+                "texts": [_packed(texts)], "place": pa.nulls(1), "gram": pa.nulls(1), "target": pa.nulls(1), "background": pa.nulls(1),
+            }
+            yield _batch(whole, schema)
+            del whole
             rows, which, sizes = _gram_rows(texts, ORDER)
-            n, m = len(texts), len(rows)
+            m = len(rows)
             background = _counts(which, m)
             target = _counts(which, m, np.repeat(np.array(good, bool), sizes))
             del which
             grams = _strings(rows)
             del rows
-            rows = {
-                "block": [block] * n, "id": ids, "text": texts, "place": pa.nulls(n), "gram": pa.nulls(n), "target": pa.nulls(n), "background": pa.nulls(n),
-            }
-            yield pa.RecordBatch.from_arrays([pa.array(v).cast(schema.field(k).type) for k, v in rows.items()], schema=schema)
-            rows = {
-                "block": np.full(m, block), "id": pa.nulls(m), "text": pa.nulls(m), "place": np.arange(m, dtype=np.int32),
+            yield _batch({
+                "block": np.full(m, block), "ids": pa.nulls(m), "sizes": pa.nulls(m), "texts": pa.nulls(m), "place": np.arange(m, dtype=np.int32),
                 "gram": grams, "target": target, "background": background,
-            }
-            yield pa.RecordBatch.from_arrays([pa.array(v).cast(schema.field(k).type) for k, v in rows.items()], schema=schema)
+            }, schema)
 
     return run
 
@@ -199,8 +222,9 @@ def models(counts: DataFrame, order: int = ORDER, prior: float = PRIOR) -> DataF
 
 
 def _scores(texts: pa.Table, losses: pa.Table) -> pa.Table:
-    """Texts of one block with the means of their tokens' losses; ``losses`` has those of the block's n-grams by place."""
-    _, which, sizes = _gram_rows([t or "" for t in texts.column("text").to_pylist()], ORDER)
+    """Identifiers of one block's texts with the means of their tokens' losses; ``losses`` has those of the block's n-grams by place."""
+    packed = zip(texts.column("texts"), texts.column("sizes"))
+    _, which, sizes = _gram_rows([t for p, s in packed for t in _unpacked(p.as_buffer(), s.as_py())], ORDER)
     order = np.argsort(losses.column("place").to_numpy())
     ends = np.cumsum(sizes)
     means = []
@@ -210,7 +234,7 @@ def _scores(texts: pa.Table, losses: pa.Table) -> pa.Table:
         with np.errstate(invalid="ignore"):
             means.append((sums[ends] - sums[ends - sizes]) / sizes)
     columns = [pa.array(m, pa.float64(), mask=sizes == 0) for m in (*means, means[0] - means[1])]
-    return pa.table([texts.column("id"), pa.array(sizes), *columns], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
+    return pa.table([pa.chunked_array([c.flatten() for c in texts.column("ids").chunks], texts.schema.field("ids").type.value_type), pa.array(sizes), *columns], names=["id", "n_tokens", "ce_target", "ce_background", "score"])
 
 
 def scores(docs: DataFrame, good: DataFrame, text: str = "text", doc_id: str = "doc_id", portion: int = PORTION) -> DataFrame:
@@ -234,7 +258,7 @@ def scores(docs: DataFrame, good: DataFrame, text: str = "text", doc_id: str = "
     counts = written(rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "gram-counts")
     losses = rows.select("gram", "block", "place").join(models(counts), "gram")
     losses = losses.select(F.col("block").alias("owner"), "place", "loss_target", "loss_background")
-    texts = blocks.where("gram is null").select("block", "id", "text")
+    texts = blocks.where("gram is null").select("block", "ids", "sizes", "texts")
     # A group is one block.
     return texts.groupBy("block").cogroup(losses.groupBy("owner")).applyInArrow(
         _scores, f"id {id_type}, n_tokens bigint, ce_target double, ce_background double, score double"

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmap.llm import lm_scoring as lm
+from quillmap.llm.common import written
 from quillmap.llm.queries import QUERIES
 
 SF_DIR = os.environ.get("QUILLMAP_SF_DIR", "/root/testdata/sf0.001")
@@ -117,3 +118,19 @@ def test_memory_of_a_block():
     tracemalloc.stop()
     assert [names[i] for i in which[:50]] == grams(text)[:50] and len(which) == sum(sizes) == 400_001
     assert peak < 45 * len(text)
+
+
+def test_texts_of_a_block_are_stored_compressed(spark, monkeypatch):
+    """The stored and shuffled texts take a fraction of their own bytes, and come back whole."""
+    kept = {}
+    monkeypatch.setattr(lm, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choices(words, k=40))) for i in range(400)] + [(400, "é" * 9 + "🙂"), (401, ""), (402, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = lm.scores(df, spark.createDataFrame(GOOD, "id long"))
+    same([tuple(r) for r in got.collect()], expected(rows, {1, 2, 77}))
+    blocks = kept["gram-blocks"].where("gram is null").collect()
+    texts = [t for b in blocks for t in lm._unpacked(b.texts, b.sizes)]
+    assert texts == [(t or "").lower() for _, t in rows] and [k for b in blocks for k in b.ids] == [k for k, _ in rows]
+    assert sum(len(b.texts) for b in blocks) < 0.4 * sum(len(t.encode()) for t in texts)
