@@ -110,9 +110,8 @@ def strip_comments(content: Column) -> Column:
 
 
 def directory(path: Column) -> Column:
-    return F.when(F.instr(path, "/") == 0, F.lit(".")).otherwise(
-        F.regexp_extract(path, r"^([\s\S]*)/", 1)
-    )
+    above = F.length(path) - F.length(base_name(path)) - 1
+    return F.when(F.instr(path, "/") == 0, F.lit(".")).otherwise(F.left(path, above))
 
 
 def base_name(path: Column) -> Column:

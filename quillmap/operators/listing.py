@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
 from quillmap.functions.text import base_name, directory, icu, rtrim, tokens_of_length, utf16_length
+from quillmap.plans.joins import small_side
+from quillmap.plans.storage import materialize
 
 HEADS = {
     ("routes", "full"): "### Routes",
@@ -109,10 +111,16 @@ def file_lines(index: DataFrame) -> DataFrame:
     summary = F.concat(
         F.lit("- "), heading, F.lit(" — "), F.col("files").cast("string"), F.lit(" file"), plural
     )
-    return (
-        files.unionByName(_lines(counts, "files", "full", heading, [], group=F.col("dir")))
-        .unionByName(_lines(counts, "files", "collapsed", summary, ["dir"]))
+    # Both forms of a directory come from one count.
+    none = F.lit("")
+    forms = F.array(*[
+        F.struct(F.lit(f).alias("form"), g.alias("group"), k.alias("k1"), x.alias("line"))
+        for f, g, k, x in [("full", F.col("dir"), none, heading), ("collapsed", none, F.col("dir"), summary)]
+    ])
+    directories = counts.select("repo", F.inline(forms)).select(
+        "*", F.lit("files").alias("section"), none.alias("k2"), none.alias("k3"), F.lit(0).alias("pos")
     )
+    return files.unionByName(directories)
 
 
 def all_lines(
@@ -135,15 +143,30 @@ def section_costs(lines: DataFrame) -> DataFrame:
     """``repo, section, form, lines, tokens`` of each section, text not built.
 
     The only part of a section that trimming can reach is the end of its last
-    line, since every line starts with something visible.
+    line, since every line starts with something visible. So lines are brought
+    into order only for sections that hold a line with a blank end, or a NULL.
+    The sums, a few rows per repository, are stored to find these.
     """
-    blank_end = utf16_length(F.col("line")) - utf16_length(rtrim(F.col("line")))
+    length = utf16_length(F.col("line"))
+    blank_end = length - utf16_length(rtrim(F.col("line")))
     summed = lines.groupBy(*_KEYS).agg(
-        F.sum(utf16_length(F.col("line")) + 1).alias("chars"),
+        F.sum(length + 1).alias("chars"),
         F.count("*").alias("lines"),
-        F.max_by(blank_end, line_order()).alias("blank_end"),
+        (~F.coalesce(F.max(blank_end) == 0, F.lit(False)) | (F.count("line") < F.count("*"))).alias("ends_count"),
     )
-    total = utf16_length(_head()) + F.col("chars") - F.col("blank_end")
+    summed = materialize(summed, "section-sums")
+    sections = summed.filter("ends_count").select(*[F.col(k).alias(f"of_{k}") for k in _KEYS])
+    blank = F.lit(0)
+    # A few kinds of sections, named so that no line of any other is made again.
+    kinds = [r.of_section for r in sections.select("of_section").distinct().collect()]
+    if kinds:
+        same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in _KEYS]
+        again = lines.filter(F.col("section").isin(kinds)).join(small_side(sections), same, "left_semi")
+        last = again.groupBy(*_KEYS).agg(F.max_by(blank_end, line_order()).alias("blank_end"))
+        last = last.select(*[F.col(k).alias(f"of_{k}") for k in _KEYS], "blank_end")
+        summed = summed.join(last, same, "left")
+        blank = F.when(F.col("ends_count"), F.col("blank_end")).otherwise(0)
+    total = utf16_length(_head()) + F.col("chars") - blank
     return summed.select(*_KEYS, "lines", tokens_of_length(total).alias("tokens"))
 
 

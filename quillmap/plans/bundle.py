@@ -12,7 +12,7 @@ from quillmap.operators import listing, tables
 from quillmap.operators.board import tasks_text
 from quillmap.operators.outline import plan_outline, recent_blocks
 from quillmap.operators.snapshot import repo_stats
-from quillmap.plans.joins import join_by_key
+from quillmap.plans.joins import join_by_key, join_by_repo
 from quillmap.plans.storage import materialize
 
 DEFAULT_HEADER = "# Project Context\n"
@@ -89,9 +89,17 @@ def _with_budget(rows: DataFrame, settings: DataFrame, fixed: int | None) -> Dat
     )
 
 
-def index_lines(index: DataFrame) -> DataFrame:
+def index_lines(index: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Listing lines of all sections, or only of the ``repo, section`` that are wanted."""
+
+    def of(section: str) -> DataFrame:
+        if wanted is None:
+            return index
+        repos = wanted.filter(F.col("section") == section).select("repo").distinct()
+        return join_by_repo(index, repos, spread="path", how="left_semi")
+
     return listing.all_lines(
-        index, tables.routes(index), tables.db_tables(index), tables.components(index)
+        of("files"), tables.routes(of("routes")), tables.db_tables(of("db")), tables.components(of("components"))
     )
 
 
@@ -126,15 +134,15 @@ def bundles(
 ) -> DataFrame:
     """``repo, text, tokens`` for every repository known to any input.
 
-    Costs decide first. Listing lines are then joined only to the sections that
-    were kept, so no text longer than the budget is ever collected.
+    Costs decide first. Listing lines are then made only of repositories that kept
+    the section, and joined to the sections that were kept, so no text longer than
+    the budget is ever collected.
     """
     texts = document_sections(documents, settings).unionByName(task_sections(tasks)).unionByName(
         map_sections(index, settings)
     )
     measured = b.measure(_with_budget(texts, settings, budget), F.col("budget"))
-    lines = index_lines(index)
-    listed = _with_budget(listing_costs(lines), settings, budget)
+    listed = _with_budget(listing_costs(index_lines(index)), settings, budget)
     kept = b.choose_forms(measured.unionByName(listed)).select("repo", F.inline("kept"))
     # A few rows per repository, needed twice below.
     chosen = materialize(kept, "chosen-sections")
@@ -144,7 +152,7 @@ def bundles(
     )
     keys = ["repo", "section", "form"]
     spread = F.struct("group", "k1", "k2", "k3", "pos")
-    kept_lines = join_by_key(lines, wanted, keys, spread, how="inner")
+    kept_lines = join_by_key(index_lines(index, wanted), wanted, keys, spread, how="inner")
     priority = F.create_map(*[F.lit(x) for kv in fx.SECTION_PRIORITIES.items() for x in kv])
     listed_texts = listing.section_texts(kept_lines).select(
         "repo", F.try_element_at(priority, F.col("section")).alias("priority"), "text"

@@ -199,6 +199,39 @@ def test_blank_end_of_a_section_is_not_charged(spark):
     assert text == "### Data model\n- t:" and costs.tokens == -(-len(text) // 4)
 
 
+def test_costs_order_only_sections_with_a_blank_end(spark, monkeypatch):
+    """Sums need no order; the end of the last line by locale counts, whatever lines end in blanks before it."""
+    ordered = []
+    rank = bundle.listing.line_order
+    monkeypatch.setattr(bundle.listing, "line_order", lambda: ordered.append(1) or rank())
+    plain = [("r", "files", "full", "d", k, "", "", 0, f"  {k}") for k in ("a", "B", "c")]
+    schema = "repo string, section string, form string, group string, k1 string, k2 string, k3 string, pos int, line string"
+
+    def costs(rows):
+        got = bundle.listing.section_costs(spark.createDataFrame(rows, schema)).collect()
+        return {(r.repo, r.section): (r.lines, r.tokens) for r in got}
+
+    assert costs(plain) == {("r", "files"): (3, 6)} and not ordered
+    assert costs([]) == {} and not ordered
+    db = [("r", "db", "full", "1", k, "", "", 0, line) for k, line in [("a", "- a: x"), ("B", "- B:" + " " * 9)]]
+    last = [(None, "db", "full", "1", k, "", "", 0, line) for k, line in [("a", "- a:" + " " * 9), ("B", "- B:" + " " * 9)]]
+    null = [("n", "db", "full", "1", "a", "", "", 0, "- a: x"), ("n", "db", "full", "2", "a", "", "", 0, None)]
+    mixed = [("m", "db", "full", "1", "a", "", "", 0, None), ("m", "db", "full", "2", "a", "", "", 0, "- a: x")]
+    assert costs(plain + db + last + null + mixed) == {
+        ("r", "files"): (3, 6), ("r", "db"): (2, 7), ("n", "db"): (2, None), ("m", "db"): (2, 6),
+        (None, "db"): (2, 9),
+    } and ordered
+
+
+def test_lines_of_wanted_sections(spark):
+    """Lines are made again only of repositories that kept the section; without any, no file is read for them."""
+    _, _, index, _ = project(spark)
+    every = {(r.section, r.form, r.line) for r in bundle.index_lines(index).collect()}
+    wanted = spark.createDataFrame([("shop", "routes", "full"), ("shop", "db", "full"), ("other", "files", "full")], "repo string, section string, form string")
+    got = {(r.section, r.form, r.line) for r in bundle.index_lines(index, wanted).collect()}
+    assert got == {x for x in every if x[0] in ("routes", "db")} and len(got) < len(every)
+
+
 def test_json_documents(spark):
     _, _, index, settings = project(spark)
     rows = export.snapshot_json_rows(index, settings, "2024-01-01T00:00:00.000Z")

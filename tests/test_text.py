@@ -1,4 +1,5 @@
 from helpers import apply
+from pyspark.sql import functions as F
 
 from quillmap import fixed_values as fx
 from quillmap.functions import text as t
@@ -71,3 +72,9 @@ def test_titles_and_answers(spark):
     ]
     answers = ['```json\n{"a": 1}\n```', '```JSON {"a": 1}```  ', ' {"a": 1} ', "x ``` y"]
     assert apply(spark, answers, t.clean_answer) == ['{"a": 1}'] * 3 + ["x ``` y"]
+
+
+def test_directory_is_cut_without_a_pattern(spark):
+    paths = ["a/b/c", "/x", "a/", "é/🙂/文.ts", "a\nb/c\nd", "//", "", None]
+    assert apply(spark, paths, t.directory) == ["a/b", "", "a", "é/🙂", "a\nb", "/", ".", None]
+    assert "regexp" not in str(t.directory(F.col("value"))).lower()
