@@ -5,7 +5,10 @@ import os
 import random
 import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +137,75 @@ def test_texts_of_a_block_are_stored_compressed(spark, monkeypatch):
     texts = [t for b in blocks for t in lm._unpacked(b.texts, b.sizes)]
     assert texts == [(t or "").lower() for _, t in rows] and [k for b in blocks for k in b.ids] == [k for k, _ in rows]
     assert sum(len(b.texts) for b in blocks) < 0.4 * sum(len(t.encode()) for t in texts)
+
+
+def block_rows(monkeypatch, texts, good, portion):
+    """What a task makes of the texts, without Spark."""
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    kinds = {"block": pa.int64(), "ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "texts": pa.binary(), "place": pa.int32(), "gram": pa.string(), "target": pa.int64(), "background": pa.int64()}
+    docs = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": pa.array(texts, pa.string()), "good": good})
+    return lm._blocks(pa.schema(kinds), portion)(iter([docs]))
+
+
+@pytest.mark.parametrize("width, rows, portion", [(1, 1, 40), (7, 3, 100), (64, 50, 8 << 20), (1 << 19, 1 << 16, 8 << 20)])
+def test_slices_of_a_block(monkeypatch, width, rows, portion):
+    """Counts and scores do not depend on where a block is cut to slices."""
+    monkeypatch.setattr(lm, "_SLICE", width)
+    monkeypatch.setattr(lm, "_ROWS", rows, raising=False)
+    rnd = random.Random(width)
+    texts = ["", "", "ab"] + ["".join(rnd.choice(SCRIPTS + "\r\n\x85\u2028") for _ in range(rnd.choice([0, 1, 3, 30]))) for _ in range(20)] + ["ab\r\n\r", ""]
+    texts = [t.lower() for t in texts]
+    good = [i % 3 == 0 for i in range(len(texts))]
+    blocks = {}
+    for batch in block_rows(monkeypatch, texts, good, portion):
+        for r in batch.to_pylist():
+            blocks.setdefault(r["block"], []).append(r)
+    for whole, *found in blocks.values():
+        own = [texts[i] for i in whole["ids"]]
+        counts = Counter(g for t in own for g in grams(t))
+        assert {r["gram"]: r["background"] for r in found} == counts and len(found) == len(counts)
+        wanted = Counter(g for i in whole["ids"] if good[i] for g in grams(texts[i]))
+        assert {r["gram"]: r["target"] for r in found if r["target"]} == wanted
+        loss = {r["gram"]: rnd.random() for r in found}
+        shuffled = rnd.sample(found, len(found))
+        held = pa.table({"ids": [whole["ids"]], "sizes": [whole["sizes"]], "texts": pa.array([whole["texts"]], pa.binary())})
+        at = pa.array([r["place"] for r in shuffled], pa.int32())
+        got = lm._scores(held, pa.table({"place": at, "loss_target": [loss[r["gram"]] for r in shuffled], "loss_background": np.ones(len(at))}))
+        for t, r in zip(own, got.to_pylist(), strict=True):
+            want = sum(loss[g] for g in grams(t)) / len(t) if t else None
+            assert r["n_tokens"] == len(t) and r["ce_target"] == (pytest.approx(want) if t else None)
+            assert r["ce_background"] == (pytest.approx(1) if t else None)
+    assert sorted(i for whole, *_ in blocks.values() for i in whole["ids"]) == list(range(len(texts)))
+
+
+def test_memory_of_scoring_a_block(monkeypatch):
+    """Losses and sums of all characters at once would need four times as much."""
+    monkeypatch.setattr(lm, "_SLICE", 1 << 14)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choices("aé🙂", k=2000)) for _ in range(300)]
+    n = sum(map(len, texts))
+    m = len(lm.grams_of(texts)[0])
+    held = pa.table({"ids": [list(range(len(texts)))], "sizes": [[len(t) for t in texts]], "texts": pa.array([pa.compress("".join(texts).encode(), "zstd", asbytes=True)], pa.binary())})
+    losses = pa.table({"place": pa.array(range(m), pa.int32()), "loss_target": np.full(m, 3.0), "loss_background": np.ones(m)})
+    tracemalloc.start()
+    got = lm._scores(held, losses)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column("score").to_pylist() == [2.0] * len(texts)
+    assert peak < 12 * n
+
+
+def test_memory_of_many_different_grams(monkeypatch):
+    """Rows of n-grams are made some at a time."""
+    monkeypatch.setattr(lm, "_SLICE", 1 << 14)
+    monkeypatch.setattr(lm, "_ROWS", 1 << 12, raising=False)
+    rnd = random.Random(7)
+    text = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(300_000))
+    made = block_rows(monkeypatch, [text, "x"], [True, False], 8 << 20)
+    assert next(made).column("sizes")[0].as_py() == [len(text), 1]
+    tracemalloc.start()
+    found = sum(len(batch) for batch in made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == len(set(grams(text))) + 1
+    assert peak < 60 * len(text)
